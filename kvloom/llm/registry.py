@@ -6,13 +6,14 @@ from .kdtree import OP3_SQL, op3_kdtree
 from .mixing import op8_mix
 from .onebit import op10_onebit
 from .packing import op9_pack
+from .pii import op7_surrogates
 from .quality import op4_quality
 from .simhash import op2_simhash
 from .toxicity import op6_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash, op3_kdtree, op4_quality, op6_toxicity, op8_mix, op9_pack, op10_onebit)}
+    return {f.__name__: f for f in (op2_simhash, op3_kdtree, op4_quality, op6_toxicity, op7_surrogates, op8_mix, op9_pack, op10_onebit)}
 
 
 def oracle_sql() -> dict[str, str]:
