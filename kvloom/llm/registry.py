@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html import op1_html
 from .kdtree import OP3_SQL, op3_kdtree
 from .lines import op5_lines
 from .mixing import op8_mix
@@ -14,7 +15,7 @@ from .toxicity import op6_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash, op3_kdtree, op4_quality, op5_lines, op6_toxicity, op7_surrogates, op8_mix, op9_pack, op10_onebit)}
+    return {f.__name__: f for f in (op1_html, op2_simhash, op3_kdtree, op4_quality, op5_lines, op6_toxicity, op7_surrogates, op8_mix, op9_pack, op10_onebit)}
 
 
 def oracle_sql() -> dict[str, str]:
