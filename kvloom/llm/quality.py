@@ -137,8 +137,8 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
-def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier accepts, all columns as they were."""
-    model = fit(docs, labels, remainder(F.col("__id"), 5) == 0)
+def accepted(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that the classifier accepts, all columns as they were; it is fitted on learn_from (default: docs)."""
+    model = fit(docs if learn_from is None else learn_from, labels, remainder(F.col("__id"), 5) == 0)
     columns = docs.columns
     return score_quality(docs, model, *columns).where("predicted = 1").select(*columns)
