@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 
 
 def linear(keys: np.ndarray, probe, start: int = 0) -> int:
-    for i, k in enumerate(keys):
-        if k >= probe:
-            return i
-    return len(keys)
+    """Over all places, counting those below the probe."""
+    return int(np.count_nonzero(keys < probe))
 
 
 def binary(keys: np.ndarray, probe, start: int = 0) -> int:
@@ -47,4 +45,4 @@ def key_point(c: Column) -> Column:
 
 def unsigned(c: Column) -> Column:
     """A long as the unsigned number with the same bits."""
-    return F.when(c < 0, c.cast("decimal(20,0)") + F.lit(1 << 64).cast("decimal(20,0)")).otherwise(c.cast("decimal(20,0)")).cast("decimal(20,0)")
+    return F.when(c < 0, c.cast("decimal(20,0)") + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(c.cast("decimal(20,0)")).cast("decimal(20,0)")

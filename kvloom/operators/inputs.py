@@ -21,7 +21,7 @@ def sample_mark(key: Column, fraction: int, seed: int | None) -> Column:
 
 def sorted_keys(source: DataFrame, fraction: int = 1, key: str = "key", seed: int | None = None) -> DataFrame:
     """Distinct keys below the sentinel, or a sample that is the same at every run, as pairs."""
-    kept = source.where(F.col(key).isNotNull() & (F.col(key).cast("decimal(20,0)") != F.lit(SENTINEL).cast("decimal(20,0)")))
+    kept = source.where(F.col(key).isNotNull() & (F.col(key).cast("decimal(20,0)") != F.lit(str(SENTINEL)).cast("decimal(20,0)")))
     return as_pairs(kept.where(sample_mark(F.col(key), fraction, seed)).dropDuplicates([key]), key)
 
 

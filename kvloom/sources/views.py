@@ -19,7 +19,7 @@ def read_table(spark: SparkSession, path: str, key_type: str = "uint64", load_in
     kind = "binary" if key_type == "str" else "long"
     if path.rstrip("/").endswith((".kv", ".keys")):
         register(spark)
-        df = spark.read.format("kvtable" if path.rstrip("/").endswith(".kv") else "keyfile").option("path", path).option("keyType", kind).load(path)
+        df = spark.read.format("kvtable" if path.rstrip("/").endswith(".kv") else "keyfile").option("keyType", kind).load(path)
         df = df if "value" in df.columns else df.withColumn("value", F.col("key"))
     else:
         df = spark.read.parquet(path)
@@ -29,6 +29,6 @@ def read_table(spark: SparkSession, path: str, key_type: str = "uint64", load_in
 def write_table(df: DataFrame, path: str, key_size: int = 8, value_size: int = 8) -> None:
     if path.rstrip("/").endswith(".kv"):
         register(df.sparkSession)
-        df.select("key", "value").write.format("kvtable").mode("overwrite").option("path", path).option("keySize", key_size).option("valueSize", value_size).save(path)
+        df.select("key", "value").write.format("kvtable").mode("overwrite").option("keySize", key_size).option("valueSize", value_size).save(path)
     else:
         df.write.mode("overwrite").parquet(path)
