@@ -9,7 +9,7 @@ distance. Classes are the components of the links; of each class only its first
 number) stays.
 
 Scale: keys move as three longs, never with texts; equal lines are one row. Keys without both an indexed and a probing
-line are dropped where they are sorted; a hot key is compared in blocks of bounded size. Texts are fetched only for
+line are dropped where they are sorted; a hot key's rows are dealt out in blocks of bounded size over many tasks. Texts are fetched only for
 lines of candidate pairs. Tables that steer a pass over the texts (wanted lines, lines to drop) are broadcast up to
 SENT rows and joined by a shuffle beyond. Lines are known by XXH64 values of their texts (a false match has the chance
 of about n * n / 2**65 for n different lines).
@@ -30,6 +30,7 @@ EDITS = 2
 SHORTEST = 20
 SENT = 1_000_000
 BLOCK = 1024
+HOT_ROWS = 200_000
 _COUNTERS = 11  # of four bits each
 
 
@@ -207,39 +208,46 @@ def segment_keys(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return _texts(docs, doc_id, text).where("doc_id is not null").mapInArrow(each, "key long, h long, meta long")
 
 
-def candidates(keys: DataFrame) -> DataFrame:
-    """a, b (a < b): different lines that share a key, one indexed and one probing, and may be within EDITS."""
-
-    def pairs(h, meta):
-        """Of one key's rows."""
-        asks = meta < 0
-        hi, mi = h[~asks], meta[~asks]
-        hp, mp = h[asks], meta[asks] & 0x7FFFFFFFFFFFFFFF
-        hi, at = np.unique(hi, return_index=True)
-        mi = mi[at]
-        hp, at = np.unique(hp, return_index=True)
-        mp = mp[at]
-        for x in range(0, len(hi), BLOCK):
-            for y in range(0, len(hp), BLOCK):
-                i, j = np.nonzero(_gaps(mi[x : x + BLOCK], mp[y : y + BLOCK]) & (hi[x : x + BLOCK, None] != hp[None, y : y + BLOCK]))
-                if len(i):
-                    yield np.minimum(hi[x + i], hp[y + j]), np.maximum(hi[x + i], hp[y + j])
-
-    def each(frames):
-        held = None
-
-        def done(key, h, meta):
-            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            ends = np.r_[start[1:], len(key)]
-            both = (np.minimum.reduceat(meta, start) < 0) & (np.maximum.reduceat(meta, start) >= 0) & (np.minimum.reduceat(h, start) != np.maximum.reduceat(h, start))
-            found = [p for s, e in zip(start[both], ends[both]) for p in pairs(h[s:e], meta[s:e])]
-            if found:
-                a, b = (np.concatenate(x) for x in zip(*found))
-                both = np.unique(np.stack([a, b]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-
-        for f in frames:
+def _pairs(h: np.ndarray, meta: np.ndarray):
+    """Of one key's rows: (smaller, larger) of an indexed and a probing line that may be within EDITS."""
+    asks = meta < 0
+    hi, at = np.unique(h[~asks], return_index=True)
+    mi = meta[~asks][at]
+    hp, at = np.unique(h[asks], return_index=True)
+    mp = meta[asks][at] & 0x7FFFFFFFFFFFFFFF
+    for x in range(0, len(hi), BLOCK):
+        for y in range(0, len(hp), BLOCK):
+            i, j = np.nonzero(_gaps(mi[x : x + BLOCK], mp[y : y + BLOCK]) & (hi[x : x + BLOCK, None] != hp[None, y : y + BLOCK]))
+            if len(i):
+                yield np.minimum(hi[x + i], hp[y + j]), np.maximum(hi[x + i], hp[y + j])
+
+
+def _meet(keys: DataFrame, hot: int | None) -> DataFrame:
+    """a, b for the pairs of each key (key null); rows of keys with over `hot` rows go on as they are (a: h, b: meta)."""
+
+    def batch(a, b, key=None):
+        keys = pa.nulls(len(a), pa.int64()) if key is None else pa.array(key)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), keys], ["a", "b", "key"])
+
+    def done(key, h, meta):
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        ends = np.r_[start[1:], len(key)]
+        both = (np.minimum.reduceat(meta, start) < 0) & (np.maximum.reduceat(meta, start) >= 0) & (np.minimum.reduceat(h, start) != np.maximum.reduceat(h, start))
+        found = [p for s, e in zip(start[both], ends[both]) for p in _pairs(h[s:e], meta[s:e])]
+        if found:
+            yield batch(*np.unique(np.stack([np.concatenate(x) for x in zip(*found)]), axis=1))
+
+    def each(batches):
+        held, passing = None, None  # rows of the last key so far; the hot key whose rows go on
+        for f in batches:
             now = [f.column(i).to_numpy() for i in range(3)]
+            if passing is not None:
+                n = int(np.searchsorted(now[0], passing, side="right"))
+                if n:
+                    yield batch(now[1][:n], now[2][:n], now[0][:n])
+                now = [x[n:] for x in now]
+                if len(now[0]):
+                    passing = None
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
             if not len(now[0]):
@@ -248,14 +256,31 @@ def candidates(keys: DataFrame) -> DataFrame:
             if n:
                 yield from done(*(x[:n] for x in now))
             held = [x[n:] for x in now]
-            if len(held[0]) > 200_000:  # a hot key: equal rows of one line and role go
-                _, at = np.unique(np.stack([held[1], held[2]]), axis=1, return_index=True)
-                held = [x[at] for x in held]
+            if hot and len(held[0]) > hot:
+                yield batch(held[1], held[2], held[0])
+                passing, held = held[0][0], None
         if held is not None and len(held[0]):
             yield from done(*held)
 
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keys.repartition(max(n, 8), "key").sortWithinPartitions("key").mapInArrow(each, "a long, b long").distinct()
+    return keys.repartition(max(n, 8), "key").sortWithinPartitions("key").mapInArrow(each, "a long, b long, key long")
+
+
+def candidates(keys: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
+    """a, b (a < b): different lines that share a key, one indexed and one probing, and may be within EDITS.
+
+    A key with over `hot` rows is dealt out in blocks, a part of its indexed lines with a part of its probing ones, so
+    every two of them meet in one task and no task holds more than about 2 * hot rows of a key.
+    """
+    met = cut(_meet(keys, hot))
+    pairs = met.where("key is null").select("a", "b")
+    rest = met.where("key is not null")
+    if not rest.isEmpty():
+        sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / hot).cast("int").alias("s"))
+        rows = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("a"), F.col("s").cast("long"))).withColumn("other", F.explode(F.expr("sequence(0, s - 1)")))
+        block = F.when(F.col("b") >= 0, F.xxhash64("key", "own", F.col("other").cast("long"))).otherwise(F.xxhash64("key", F.col("other").cast("long"), "own"))
+        pairs = pairs.union(_meet(rows.select(block.alias("key"), F.col("a").alias("h"), F.col("b").alias("meta")), None).select("a", "b"))
+    return pairs.distinct()
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
