@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-PATH_SLOTS, LEAF_SLOTS, WORD_SLOTS, MEASURES = 96, 32, 16, 7
+PATH_SLOTS, LEAF_SLOTS, WORD_SLOTS, MEASURES = 256, 64, 16, 7
 INPUTS = PATH_SLOTS + LEAF_SLOTS + WORD_SLOTS + MEASURES
 HIDDEN = 16
 SEED = 3
-TRAINING_PAGES = 1000
-EPOCHS = 8
+TRAINING_PAGES = 1500
+EPOCHS = 7
 
 #: Fixed by the HTML standard: elements without content, elements whose content isn't markup, elements in a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -281,7 +281,9 @@ def training_page(rng: random.Random) -> tuple[str, list[bool]]:
         mark(f"<{tag}{named(kind) if plain or rng.random() < 0.6 else ''}>".replace("<div>", f'<div class="{rng.choice(NAMES[kind].split())}">').replace("<section>", f'<section class="{rng.choice(NAMES[kind].split())}">').replace("<ul>", f'<ul class="{rng.choice(NAMES[kind].split())}">').replace("<ol>", f'<ol class="{rng.choice(NAMES[kind].split())}">'))
         style = rng.random()
         n = rng.randint(1, 7)
-        if kind == "menu" or style < 0.3:
+        if kind in ("menu", "footer", "header") and rng.random() < 0.25:
+            out.append((" ".join(f'<a href="/{word()}">{words(1, 2, kind)}</a>' for _ in range(n)), False))
+        elif kind == "menu" or style < 0.3:
             inner = tag not in ("ul", "ol") and rng.random() < 0.8
             mark("<ul>" if inner else "")
             for _ in range(n):
@@ -322,14 +324,14 @@ def training_page(rng: random.Random) -> tuple[str, list[bool]]:
             mark("</header>" if wrap else "")
         for i in range(rng.choice((1, 2, 3, 5, 8, 14, 25))):
             r = rng.random()
-            if r < 0.75:
+            if r < 0.7:
                 mark("<p>")
                 if rng.random() < 0.15:
                     text(words(1, 30), True)
                     mark("<br>")
                 text(words(*rng.choice(((1, 2), (3, 20), (20, 120)))), True)
                 mark("</p>" if rng.random() < 0.7 else "")
-            elif r < 0.82:
+            elif r < 0.81:
                 mark("<ul>")
                 for _ in range(rng.randint(1, 5)):
                     mark("<li>")
