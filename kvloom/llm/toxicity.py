@@ -7,7 +7,7 @@ pair of lengths is looked up in a table of log likelihood ratios, calibrated on
 haven't seen. A text's score is a logistic curve of the sum over its windows.
 
 Toxic texts are mostly ordinary words, so their dictionary is trained on the windows that set them apart: those with a
-run of GRAM characters that ordinary texts don't have and that several unrelated toxic texts share.
+run of characters that several unrelated toxic texts share and that is many times as common there.
 
 Scale: one pass over the texts, no shuffle of texts. Dictionaries and table are below 200 kB together. They are fitted
 on at most FIT_TEXTS labelled texts of each class, chosen by a hash of the id; lengths of known words are kept in a
@@ -32,12 +32,15 @@ from .common import remainder, table
 FIT_TEXTS = 3000
 WINDOW = 24
 SPELL = 3
-GRAM = 5
+GRAMS = (5, 7, 9)
 CUT = 0.7
+#: A mark of toxic texts is so many times as common in them.
+TIMES = 12
+DICTIONARY = 1 << 16
 LEVEL = 9
 CACHED = 500_000
 #: Pairs of lengths below this log likelihood ratio say nothing for toxicity; such windows speak against it by DRIFT.
-LEAST = 1.2
+LEAST = 2.0
 DRIFT = -0.01
 _LONGEST = 255
 
@@ -68,8 +71,9 @@ def spelt(window: str) -> bytes:
 
 
 def grams(window: str) -> set[str]:
+    """Runs of characters of a window, of the lengths in GRAMS, and the whole window, with marks at its ends."""
     marked = f"^{window}$"
-    return {marked[i : i + GRAM] for i in range(max(1, len(marked) - GRAM + 1))}
+    return {marked} | {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)}
 
 
 def _families(texts: list[Counter], usual: Counter) -> list[Counter]:
@@ -129,11 +133,14 @@ class Model:
 
 
 def _train(samples: list[bytes], size: int) -> bytes:
-    """A dictionary of the samples; where they are too few to train on, the samples themselves."""
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-size:] or b"\0" * 8
+    """A dictionary of the samples. Where all different ones fit in it, or they are too few to train on, they are its content, the commonest last."""
+    different = [x for x, _ in Counter(samples).most_common()]
+    if sum(map(len, different)) > size:
+        try:
+            return zstandard.train_dictionary(size, samples).as_bytes()
+        except zstandard.ZstdError:
+            pass
+    return b"".join(reversed(different))[-size:] or b"\0" * 8
 
 
 def fit_texts(ordinary: list[str], toxic: list[str]) -> Model:
@@ -144,19 +151,24 @@ def fit_texts(ordinary: list[str], toxic: list[str]) -> Model:
         usual.update(bag.keys())
     bags[1] = _families(bags[1], usual)
     learn, check = [b[::2] for b in bags], [b[1::2] for b in bags]
-    # runs of characters that toxic texts share and no ordinary text has (of both halves: only absence is learnt there)
-    have: set[str] = set()
-    for w in usual:
-        have |= grams(w)
+    # runs of characters that several toxic texts share and that are many times as common there (of both halves: only
+    # which windows are shown to the dictionary follows from this)
     shared: Counter = Counter()
     for bag in bags[1]:
-        shared.update({g for w in bag for g in grams(w)} - have)
-    marks = {g for g, n in shared.items() if n >= 4}
+        shared.update(bag.keys())
+    wanted = {g for w, n in shared.items() if n >= 3 for g in grams(w)}
+    counts: list[Counter] = [Counter(), Counter()]
+    for side, found in ((0, usual), (1, shared)):
+        for w, n in found.items():
+            for g in grams(w) & wanted:
+                counts[side][g] += n
+    least = max(4, 0.01 * len(bags[1]))
+    marks = {g for g, n in counts[1].items() if n >= least and n * (len(bags[0]) + 1) >= TIMES * (counts[0][g] + 0.5) * (len(bags[1]) + 1)}
     toxic_windows = Counter(w for bag in learn[1] for w in bag if grams(w) & marks)
     ordinary_windows = Counter(w for bag in learn[0] for w in bag)
     samples = [spelt(w) for w, n in sorted(toxic_windows.items()) for _ in range(min(n, 20))]
     usual_samples = [spelt(w) for w, n in sorted(ordinary_windows.items(), key=lambda x: (-x[1], x[0]))[:30_000] for _ in range(min(n, 3))]
-    coders = Compressors(_train(usual_samples, 1 << 16), _train(samples, 1 << 14))
+    coders = Compressors(_train(usual_samples, DICTIONARY), _train(samples, DICTIONARY))
     # table of log likelihood ratios of the pairs of lengths
     kept: dict[str, tuple[int, int]] = {}
     cells: list[Counter] = [Counter(), Counter()]
