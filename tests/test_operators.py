@@ -16,7 +16,7 @@ from kvloom.operators import indexes, inputs, joins, learned, merge, report, ver
 from kvloom.operators.positions import lower_bound, with_position
 from kvloom.operators.spec import IndexSpec, OpSpec, expand
 from kvloom.plans import runner
-from kvloom.sources.views import read_table, write_table
+from kvloom.sources.views import read_table, write_bucketed, write_table
 
 OUTER = [(1, 10), (1, 11), (2, 12), (5, 13), (None, 14), (9, 15)]
 INNER = [(1, 100), (1, 99), (2, 98), (3, 97), (None, 96)]
@@ -227,3 +227,10 @@ def test_semi_join_plan_reads_only_its_columns_and_pushes_the_filter(spark):
 
     text = catalog.queries()["join_lsj"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "EqualTo(o_orderstatus,F)" in text and "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in text
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    outer, inner = (write_bucketed(spark.range(n).selectExpr("id % 50 as key", "id as value"), t, 4) for n, t in ((200, "b_outer"), (30, "b_inner")))
+    joined = joins.semi_outer(outer, inner, hint="merge")
+    assert joined.count() == 120
+    assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
