@@ -116,18 +116,18 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "qual
     return Discriminant(x, y) if len(got) and len(set(y.tolist())) == 2 else None
 
 
-def score_quality(docs: DataFrame, model: Discriminant | None, *keep: str, text: str = "text") -> DataFrame:
-    """keep, score, predicted for each row. Null and empty texts are scored by their statistics; no model: 0.5 for all."""
+def score_quality(docs: DataFrame, model: Discriminant | None, *keep: str, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """keep, score, predicted (or by other names) for each row. Null and empty texts are scored by their statistics; no model: 0.5 for all."""
 
     def each(batches):
         for b in batches:
             x = np.array([statistics(t.as_py()) for t in b.column(b.num_columns - 1)]).reshape(-1, len(FEATURES))
             s = model.score(x) if model is not None else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= CUT).astype("int32"))], [*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= CUT).astype("int32"))], [*keep, *names])
 
     given = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema.fields[:-1])
-    return given.mapInArrow(each, f"{kinds}score double, predicted int")
+    return given.mapInArrow(each, f"{kinds}`{names[0]}` double, `{names[1]}` int")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,4 +141,4 @@ def accepted(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None =
     """The rows of docs that the classifier accepts, all columns as they were; it is fitted on learn_from (default: docs)."""
     model = fit(docs if learn_from is None else learn_from, labels, remainder(F.col("__id"), 5) == 0)
     columns = docs.columns
-    return score_quality(docs, model, *columns).where("predicted = 1").select(*columns)
+    return score_quality(docs, model, *columns, names=("__score", "__predicted")).where("__predicted = 1").select(*columns)

@@ -205,6 +205,12 @@ def test_classifiers_on_odd_rows(spark):
         assert score(docs.limit(0), None, "doc_id").count() == 0
 
 
+def test_accepted_keeps_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit(1)).withColumn("predicted", F.lit("x")).withColumn("label", F.lit(None).cast("double"))
+    got = quality.accepted(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert got.columns == docs.columns and 0 < got.count() < 1000 and got.select("predicted").distinct().collect() == [("x",)]
+
+
 # surrogates
 
 
