@@ -456,3 +456,18 @@ def test_pipeline(spark, tmp_path):
             assert len(fps) == len(set(fps))
         docs = after
     assert docs.count() > 0
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_rows(spark, empty):
+    """Null ids, texts and sources, repeated rows, and extra columns by names that the stages use."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, size int, score double, h long, component_id string, target int"
+    body = "a line of ordinary words that is long enough to take part in all stages"
+    rows = [(i, t, None, s, None if t is None else len(t), 1, None, 2, "c", None) for i, t, s in [(1, body, "a"), (1, body, "a"), (2, None, "a"), (3, "", None), (None, body + " too", "b"), (4, body + "\n" + body, None), (5, "x " * 5000, "b")]]
+    docs = spark.createDataFrame([] if empty else rows, kinds)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, SF)
+        n = got.count()
+        assert name == "packing" or got.columns == docs.columns
+        assert n == 0 if empty else n > 0 or name == "quality", name
