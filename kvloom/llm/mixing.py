@@ -92,7 +92,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     facts = spark.createDataFrame(
         [(r["source"], int(s), float(t), int(k)) for r, s, t, k in zip(got, sizes, targets, runs)], "f_source string, source_size long, target double, run long"
     )
-    n_slices = slices(sum(r["n"] for r in got), 20_000)
+    n_slices = slices(sum(r["n"] for r in got), 2_000)
     rows = rows.withColumn("slice", F.pmod(F.shiftright("h", 20), F.lit(n_slices)).cast("int"))
     ordered = Window.partitionBy("source", "slice").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("own", F.coalesce(F.sum("size").over(ordered), F.lit(0)))
