@@ -322,12 +322,12 @@ def key_points(spark, d):
     return Sides(spark, d).orders.select("key", key_point(F.unhex(F.md5(F.col("key").cast("string")))).alias("point"))
 
 
-@_query("SELECT CAST(CAST(o_orderkey AS HUGEINT) + 9223372036854775808 AS DECIMAL(20, 0)) AS key, o_custkey AS value FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+@_query("SELECT CAST(CAST(o_orderkey AS HUGEINT) + 9223372036854775808 AS VARCHAR) AS key, o_custkey AS value FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def join_unsigned_keys(spark, d):
     s = Sides(spark, d)
     big = (F.col("key").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("decimal(20,0)")
     outer, inner = (t.select(big.alias("key"), "value") for t in (s.orders, s.lines))
-    return joins.semi_outer(outer, inner)
+    return joins.semi_outer(outer, inner).select(F.col("key").cast("string").alias("key"), "value")
 
 
 # digests, counts, ranges
