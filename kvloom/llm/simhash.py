@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 from .graph import components
+from .jaccard import similar_components
 
 RADIUS = 3
 SEED = 42
@@ -242,10 +243,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without near duplicates: of each component the row with the smallest doc_id (one of equal ids).
+    """docs without near duplicates, by Jaccard similarity of five-word shingles and not by fingerprints, which lose most.
 
-    Rows without an id can't be told apart by one and all stay.
+    Of each component the row with the smallest doc_id stays (one of equal ids). Rows without an id can't be told apart
+    by one and all stay.
     """
-    keep = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__dup_id")).distinct()
+    keep = similar_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__dup_id")).distinct()
     kept = docs.join(keep, docs["doc_id"] == keep["__dup_id"]).select(*[docs[c] for c in docs.columns])
     return kept.dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id is null"))

@@ -105,6 +105,33 @@ def test_near_duplicates_on_odd_rows(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_one_of_each_finds_all_pairs_at_four_fifths(spark):
+    """Edited copies, chains of them and a passage in a third of the texts, against all pairs of sets."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    passage = [rng.choice(vocabulary) for _ in range(40)]
+    texts = []
+    for _ in range(40):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([3, 5, 9, 60, 200]))] + (passage if rng.random() < 0.3 else [])
+        for _ in range(6):
+            texts.append(" ".join(base))
+            base = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 40))):
+                base[rng.randrange(len(base))] = rng.choice(vocabulary)
+    rng.shuffle(texts)
+
+    def shingles(t):
+        w = t.split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for t in texts]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert sum(bin(simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).count("1") > 3 for i, j in linked) > 20
+    want = sorted(set(reach(range(len(texts)), linked).values()))
+    assert sorted(r.doc_id for r in simhash.one_of_each(documents(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()) == want
+
+
+
 # lines
 
 
