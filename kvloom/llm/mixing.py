@@ -2,9 +2,10 @@
 
 Slots are points of the golden-ratio sequence, mapped through the cumulative target weights, so any stretch of the
 schedule has each source in nearly its exact share. Slots are ranked per source; slot r of a source takes block r of
-the source's shuffled token stream, whose blocks have equal numbers of tokens and which starts again at its end. As
-the ranks of a source are 0 .. k-1, the blocks it gives are one run of k blocks, so what a document gives follows
-from where it starts in the stream.
+the source's shuffled token stream, which starts again at its end. A source's k blocks are equal parts of its target in
+whole words, so every source gives its target and no more, however few slots it has; one too small for a slot of its own
+is a single block at a slot of another. What a document gives follows from where it starts in the stream, and its slot
+from the block it starts in.
 
 Scale: one shuffle of ids and sizes (no texts) by (source, slice of the shuffle order), so a source with a third of
 the rows is spread over all tasks. The schedule has at most SLOTS slots at any input size. Only the per-source totals
@@ -62,8 +63,11 @@ def schedule(spark: SparkSession, targets: list[float], slots: int) -> DataFrame
     return points.withColumn("own", own).join(before, ["source", "stretch"]).select("slot", "source", (F.coalesce("before", F.lit(0)) + F.col("own")).cast("long").alias("rank"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, most: float = MOST, slots: int = SLOTS, seed: int = 7) -> DataFrame:
-    """Return doc_id, size, source_size, target, taken, start (place in the source's stream) for each row of docs.
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, most: float = MOST, slots: int = SLOTS, seed: int = 7, placed: bool = True) -> DataFrame:
+    """Return doc_id, size, source_size, target, taken, start (place in the source's stream), slot for each row of docs.
+
+    slot is the place in the schedule of the block in which the row's first pass starts, null where it isn't taken;
+    without `placed` there is no such column, and no schedule is made.
 
     Sources are ordered by code point, null last, and weigh `weights`, repeating. size counts words; a null or empty
     text has size 0 and gives 0. An empty source has target 0. Rows with equal ids are separate documents of the
@@ -81,16 +85,16 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     sizes = [r["source_size"] for r in got]
     targets = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(got))], most)
     total = sum(sizes)
+    n_slots = int(min(slots, max(1, total)))
     counts = {}
-    block = 1.0
-    if total:
-        n_slots = int(min(slots, max(1, total)))
-        block = sum(targets) / n_slots
-        counts = {r["source"]: r["n"] for r in schedule(spark, targets, n_slots).groupBy("source").agg((F.max("rank") + 1).alias("n")).collect()}
-    # whole words of the run of blocks, never above `most` passes
-    runs = [min(round(counts.get(i, 0) * block), int(most * s)) for i, s in enumerate(sizes)]
+    if total and placed:
+        plan = cut(schedule(spark, targets, n_slots))
+        counts = {r["source"]: r["n"] for r in plan.groupBy("source").agg((F.max("rank") + 1).alias("n")).collect()}
+    # whole words, never above `most` passes
+    runs = [min(round(t), int(most * s)) for t, s in zip(targets, sizes)]
     facts = spark.createDataFrame(
-        [(r["source"], int(s), float(t), int(k)) for r, s, t, k in zip(got, sizes, targets, runs)], "f_source string, source_size long, target double, run long"
+        [(r["source"], int(s), float(t), int(k), i, int(counts.get(i, 0))) for i, (r, s, t, k) in enumerate(zip(got, sizes, targets, runs))],
+        "f_source string, source_size long, target double, run long, place int, blocks long",
     )
     n_slices = slices(sum(r["n"] for r in got), 2_000)
     rows = rows.withColumn("slice", F.pmod(F.shiftright("h", 20), F.lit(n_slices)).cast("int"))
@@ -105,7 +109,18 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("run") / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(F.lit(0)).cast("long")
     rest = F.col("run") - whole * F.col("source_size")
     taken = whole * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - start))
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), start.cast("long").alias("start"))
+    out = rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), start.cast("long").alias("start"), "run", "place", "blocks")
+    given = ["doc_id", "size", "source_size", "target", "taken", "start"]
+    if not placed:
+        return out.select(given)
+    if not total:
+        return out.select(*given, F.lit(None).cast("long").alias("slot"))
+    rank = F.when((F.col("taken") > 0) & (F.col("blocks") > 0), F.expr("cast(cast(start as decimal(19,0)) * blocks div run as long)"))
+    own = plan.select(F.col("source").alias("p_place"), F.col("rank").alias("p_rank"), F.col("slot").alias("p_slot"))
+    out = out.withColumn("rank", rank).join(own, (F.col("place") == F.col("p_place")) & (F.col("rank") == F.col("p_rank")), "left")
+    other = F.floor(F.pmod((F.col("place") + 0.5) * GOLDEN, F.lit(1.0)) * n_slots).cast("long")
+    slot = F.when(F.col("taken") > 0, F.coalesce("p_slot", other))
+    return out.select(*given, slot.alias("slot"))
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +132,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Documents without words have nothing to take and go.
     """
-    keys = mix(docs).where("size > 0").select(F.col("doc_id").alias("__mix_id"), F.col("size").alias("__mix_size"), F.floor((F.col("taken") + F.col("size") / 2) / F.col("size")).cast("int").alias("__mix_n"))
+    keys = mix(docs, placed=False).where("size > 0").select(F.col("doc_id").alias("__mix_id"), F.col("size").alias("__mix_size"), F.floor((F.col("taken") + F.col("size") / 2) / F.col("size")).cast("int").alias("__mix_n"))
     keys = keys.where("__mix_n > 0").groupBy("__mix_id", "__mix_size").agg(F.max("__mix_n").alias("__mix_n"))
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     out = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("__mix_id")) & (size == F.col("__mix_size")))

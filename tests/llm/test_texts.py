@@ -321,6 +321,22 @@ def test_mix(spark):
     assert mixing.mix(documents(spark, [(1, None, "a")])).first().taken == 0
 
 
+def test_small_sources_get_their_targets_and_slots(spark):
+    """Far more sources than slots, of Zipf weights: each gives its target to the word, in the schedule's order."""
+    rows = [(20 * i + k, "w " * 50, f"s{i:03}") for i in range(150) for k in range(20)]
+    got = mixing.mix(documents(spark, rows), weights=tuple(1 / (i + 1) for i in range(150)), slots=256).collect()
+    taken, target, slot = defaultdict(int), {}, defaultdict(list)
+    for r in got:
+        taken[r.doc_id // 20] += r.taken
+        target[r.doc_id // 20] = r.target
+        assert (r.slot is None) == (r.taken == 0) and (r.slot is None or 0 <= r.slot < 256)
+        if r.taken:
+            slot[r.doc_id // 20].append((r.start, r.slot))
+    assert all(abs(taken[i] - target[i]) <= 1 for i in target)
+    for v in slot.values():
+        assert [s for _, s in sorted(v)] == sorted(s for _, s in v)
+
+
 def test_schedule_ranks(spark):
     rows = mixing.schedule(spark, [3.0, 1.0, 2.0], 6000).collect()
     by = defaultdict(list)
