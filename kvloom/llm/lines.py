@@ -79,8 +79,8 @@ def signature(line: str) -> int:
 def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether edits of each pair of signatures' lines could be within EDITS, for all pairs."""
     fit = np.ones((len(a), len(b)), bool)
-    d = (a[:, None] >> 44 & 0xFFFF) - (b[None, :] >> 44 & 0xFFFF)
-    fit &= abs(d) <= EDITS
+    d = ((a[:, None] >> 44) - (b[None, :] >> 44)) & 0xFFFF
+    fit &= np.minimum(d, 65536 - d) <= EDITS
     total = np.zeros(fit.shape, np.int16)
     for i in range(_COUNTERS):
         d = ((a >> 4 * i & 15)[:, None] - (b >> 4 * i & 15)[None, :]) & 15

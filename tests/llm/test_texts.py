@@ -171,6 +171,14 @@ def slow_lines(docs):
     return sorted(((i, None if t is None else "\n".join(x for no, x in enumerate(t.split("\n")) if (i, no) not in gone)) for i, t in docs), key=repr)
 
 
+@pytest.mark.parametrize("length", [65_535, 131_071])
+def test_lengths_wrap_in_signatures(length):
+    a = np.array([lines.signature("x" * length)])
+    assert lines._gaps(a, np.array([lines.signature("x" * (length + 1))]))[0, 0]
+    assert lines._gaps(np.array([lines.signature("x" * (length + 1))]), a)[0, 0]
+    assert not lines._gaps(a, np.array([lines.signature("x" * (length + 3))]))[0, 0]
+
+
 def test_hot_keys_are_dealt_out_without_losing_pairs(spark):
     rng = random.Random(9)
     stem = "a stem that all lines share and more "
