@@ -31,9 +31,13 @@ MAX_ATTEMPTS = 24
 MALE = r"Mr|Herr|Herrn|Monsieur|Señor|Sr|Don|Господин|г-н|Κύριος"
 FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Señorita|Sra|Doña|Госпожа|г-жа|Κυρία"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: What stands before a secret: the word, with any prefix that ends in a mark, and its sign, in any case.
+_KEYWORD = r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|token|secret|api_key|apikey)[\"']?\s{0,2}[=:]\s{0,2}"
+#: A value of fewer letters and digits (asterisks, say) has no surrogate of its own.
+_SOLID = r"(?=(?:[^\s\p{Ll}\p{Lu}0-9]*+[\p{Ll}\p{Lu}0-9]){4})"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@(?:[\p{L}\p{N}\-]{1,63}+\.){1,8}\p{L}{2,24}",
-    "secret": r"(?:(?<=[=:\"'])|(?<=[=:]\s))(?<=\b(?:password|passwd|pwd|token|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_\-]{6,128}",
+    "secret": rf"(?:(?<=[=:\"'])|(?<=[=:]\s{{1,2}}))(?:(?<={_KEYWORD}\"){_SOLID}(?:(?:\\.|[^\"\\\r\n]){{6,}}+(?=\")|[^\s\"]{{6,}})|(?<={_KEYWORD}'){_SOLID}(?:(?:\\.|[^'\\\r\n]){{6,}}+(?=')|[^\s']{{6,}})|(?<={_KEYWORD})(?![\"'\s]){_SOLID}\S{{6,}})",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
@@ -44,8 +48,9 @@ PATTERNS = {
 }
 _P = {k: f"(?:{p})" for k, p in PATTERNS.items()}
 #: Each branch starts with a look at one character, which settles most places in a text at once.
-_WITHOUT_MAIL = rf"(?=[0-9+(])(?:{_P['ip']}|{_P['ssn']}|{_P['phone']}|{_P['card']})|(?=[A-Z])(?:{_P['key']}|{_P['iban']})|(?=[MHFSDГгΚ]){_P['name']}|{_P['secret']}"
-PATTERN = f"{_P['email']}|{_WITHOUT_MAIL}"
+_OTHERS = rf"(?=[0-9+(])(?:{_P['ip']}|{_P['ssn']}|{_P['phone']}|{_P['card']})|(?=[A-Z])(?:{_P['key']}|{_P['iban']})|(?=[MHFSDГгΚ]){_P['name']}"
+_WITHOUT_MAIL = f"{_P['secret']}|{_OTHERS}"
+PATTERN = f"{_P['secret']}|{_P['email']}|{_OTHERS}"
 
 FIRST = {
     "m:latin": "Adrian Bruno Caleb Dario Edgar Felix Gustav Hugo Ivo Jonas Kaspar Leon Milo Nestor Oscar Paul",
@@ -74,7 +79,7 @@ def _digits(v: str) -> str:
 
 
 def kind_of(m: str) -> str:
-    tests = [("email", f"instr({m}, '@') > 0"), ("name", f"{m} rlike {_text('^(?:' + PATTERNS['name'] + ')$')}")]
+    tests = [("email", f"{m} rlike {_text('^(?:' + PATTERNS['email'] + ')$')}"), ("name", f"{m} rlike {_text('^(?:' + PATTERNS['name'] + ')$')}")]
     tests += [(k, f"{m} rlike {_text('^(?:' + PATTERNS[k] + ')$')}") for k in ("key", "iban", "ip", "ssn", "phone", "card")]
     return "case " + " ".join(f"when {t} then '{k}'" for k, t in tests) + " else 'secret' end"
 

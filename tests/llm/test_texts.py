@@ -272,6 +272,21 @@ def test_surrogates(spark):
     assert pii.pseudonymised(documents(spark, [])).count() == 0
 
 
+def test_whole_secrets_are_replaced(spark):
+    long, jwt = "k3Y" * 70, "eyJhbGci.eyJzdWIi.c2lnbmF0"
+    forms = ["token = \"%s\"", "Password: %s", "access_token=%s", '{"password": "%s"}', "PWD='%s' next", "my-secret=%s"]
+    cases = [(f, v) for f in forms for v in (long, jwt, "P@ssw0rd!")]
+    rows = [(i, f % v, "a") for i, (f, v) in enumerate(cases)] + [(101, "password: ******", "a")]
+    got = {r.doc_id: r for r in pii.pseudonymised(documents(spark, rows)).collect()}
+    for i, (f, v) in enumerate(cases):
+        head, tail = f.split("%s")
+        text = got[i].text
+        assert text.startswith(head) and text.endswith(tail) and got[i].n_entities == 1, text
+        new = text[len(head) : len(text) - len(tail)]
+        assert len(new) == len(v) and all(new[k : k + 8] != v[k : k + 8] for k in range(len(v) - 7)), (v, new)
+    assert got[101].text == "password: ******"
+
+
 def test_surrogates_stay_apart(spark):
     """More first names than the list has: collisions must be drawn again."""
     names = ["".join(x) for x in zip("ABCDEFGHIKLMNOPRSTUV", ["ndo", "erin", "olum"] * 7)]
