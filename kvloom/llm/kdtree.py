@@ -1,144 +1,181 @@
 """Exact top-k inner products with a KD-tree per shard.
 
-Rows are dealt to shards by a hash of the id. A shard's tree is split at medians of its widest dimension; each node has
-the tight bounding box of its vectors. A box bounds the inner product with a query from above by taking the better end
-of each side. A query goes down to the boxes that can still beat its k-th best, visits leaves from the best bound down,
-and stops when the bound is below the k-th best, which goes on from shard to shard within a task (from a first shard
-that is read by all queries). Ties with the k-th best are never cut off.
-
-Scale: shards are of bounded size and independent; a task holds one shard, one block of queries and k results for each.
+The rows of a part are split at medians into shards of at most SHARD_ROWS, and each shard has a tree, split at medians of
+its widest dimension down to LEAF rows; each node has the tight bounding box of its vectors. A box bounds the inner product
+with a query from above by taking the better end of each side. The search is best-first: of the boxes that are open for
+a query the one with the best bound comes next, an inner box opens its two children, a leaf is measured, and the query is
+done with the shard when its best open bound is below its k-th best product. All queries of a block take their steps
+together, so that a leaf is measured for all that stand at it. The k-th best goes on from shard to shard, and all parts
+start from the k-th best among the first rows, which every query reads before it is sent out. Ties with it are never cut off.
+
+Products are whole numbers. Doubles hold them up to 2**53; beyond, components are split into halves of 16 bits and summed
+as longs; beyond 2**62 in sum they are computed in whole numbers of any size and scores outside of long become its ends.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
-from .vectors import QUERY_BLOCK, Best, over_blocks, usable
+from .common import cut, table
+from .vectors import QUERY_BLOCK, SHARD_ROWS, Best, chunks, first_rows, over_parts, parts_for, usable
+
+LEAF = 256
+#: Bounds of sums of products: what doubles hold exactly, what longs hold.
+EXACT, LONG = 2.0**53, 2.0**62
+_ENDS = (1 << 63) - 1
+
+
+class Products:
+    """Inner products of whole numbers held as doubles, exact for sums up to `most` in absolute value."""
 
-SHARD_ROWS = 8192
-LEAF = 128
-#: Above this, sums of products could pass 2**53, where doubles no longer hold every integer.
-EXACT = 2.0**53
+    def __init__(self, most: float):
+        self.most = most
+        self.dtype = np.float64 if most < EXACT else np.int64
+        # of bounds and k-th values in doubles, beyond which they can't be trusted
+        self.slack = 0.0 if most < EXACT else 1e-12 * most
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """All products of the rows of a with the rows of b."""
+        if self.most < EXACT:
+            return a @ b.T
+        if self.most < LONG:
+            (ah, al), (bh, bl) = ((np.floor(x / 65536), np.mod(x, 65536)) for x in (a, b))
+            middle = (ah @ bl.T + al @ bh.T).astype(np.int64)
+            return ((ah @ bh.T).astype(np.int64) << 32) + (middle << 16) + (al @ bl.T).astype(np.int64)
+        whole = [np.array([[int(x) for x in row] for row in m], dtype=object) for m in (a, b)]
+        return np.clip(whole[0] @ whole[1].T, -_ENDS, _ENDS).astype(np.int64)
 
 
 class KdTree:
+    """A tree over points; nodes in arrays, the points of a leaf next to each other (order: their places in points)."""
+
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
         self.order = np.arange(len(points))
-        self.lo, self.hi, self.child, self.span = [], [], [], []
-        todo = [(0, len(points), -1)]
+        lo, hi, self.span, left, right = [], [], [], [], []
+        todo = [(0, len(points), None, -1)]
         while todo:
-            a, b, above = todo.pop()
+            a, b, side, above = todo.pop()
             own = points[self.order[a:b]]
-            lo, hi = own.min(axis=0), own.max(axis=0)
-            me = len(self.lo)
-            self.lo.append(lo)
-            self.hi.append(hi)
+            me = len(lo)
+            lo.append(own.min(axis=0))
+            hi.append(own.max(axis=0))
             self.span.append((a, b))
-            self.child.append([])
-            if above >= 0:
-                self.child[above].append(me)
-            if b - a > leaf and (hi > lo).any():
+            left.append(-1)
+            right.append(-1)
+            if side is not None:
+                side[above] = me
+            if b - a > leaf:
                 middle = (b - a) // 2
-                self.order[a:b] = self.order[a:b][np.argpartition(own[:, np.argmax(hi - lo)], middle)]
-                todo += [(a, a + middle, me), (a + middle, b, me)]
-        self.lo, self.hi = np.array(self.lo), np.array(self.hi)
+                self.order[a:b] = self.order[a:b][np.argpartition(own[:, np.argmax(hi[me] - lo[me])], middle)]
+                todo += [(a, a + middle, left, me), (a + middle, b, right, me)]
+        self.lo, self.hi, self.left, self.right = np.array(lo), np.array(hi), np.array(left), np.array(right)
+
+    def leaves(self) -> list[np.ndarray]:
+        """The places of each leaf's points."""
+        return [self.order[a:b] for (a, b), x in zip(self.span, self.left) if x < 0]
+
+    def bounds(self, up: np.ndarray, down: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Upper bounds of the inner products of each query (up: positive parts, down: negative parts) with its node's box."""
+        return np.einsum("qd,qd->q", up, self.hi[nodes]) + np.einsum("qd,qd->q", down, self.lo[nodes])
 
-    def bounds(self, up: np.ndarray, down: np.ndarray, nodes: list[int]) -> np.ndarray:
-        """Upper bounds of the inner products of queries (up: positive parts, down: negative parts) with the nodes' boxes."""
-        return up @ self.hi[nodes].T + down @ self.lo[nodes].T
 
-    def search(self, ids: np.ndarray, points: np.ndarray, own: np.ndarray, queries: np.ndarray, best: Best) -> None:
+class Shard:
+    def __init__(self, ids: np.ndarray, points: np.ndarray, products: Products, leaf: int = LEAF):
+        self.tree, self.products = KdTree(points, leaf), products
+        self.ids, self.points = ids[self.tree.order], points[self.tree.order]
+        self.measured = 0  # pairs of a query and a leaf
+
+    def search(self, own: np.ndarray, queries: np.ndarray, best: Best) -> None:
+        tree, slack = self.tree, self.products.slack
         up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-        # down the tree, level by level: which queries still want which node
-        wanted = {0: np.arange(len(queries))}
-        leaves: list[tuple[np.ndarray, int, np.ndarray]] = []
-        while wanted:
-            below: dict[int, np.ndarray] = {}
-            for node, q in wanted.items():
-                bound = self.bounds(up[q], down[q], [node])[:, 0]
-                keep = -bound <= best.kth[q]
-                if keep.any() and self.child[node]:
-                    below |= {c: q[keep] for c in self.child[node]}
-                elif keep.any():
-                    leaves.append((q[keep], node, bound[keep]))
-            wanted = below
-        if not leaves:
-            return
-        q = np.concatenate([x[0] for x in leaves])
-        node = np.concatenate([np.full(len(x[0]), x[1]) for x in leaves])
-        bound = np.concatenate([x[2] for x in leaves])
-        order = np.lexsort((-bound, q))
-        q, node, bound = q[order], node[order], bound[order]
-        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-        place = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
-        step, at = 1, 0
-        while at <= place.max():  # best bounds first; the k-th best is renewed after every round
-            now = np.flatnonzero((place >= at) & (place < at + step))
-            now = now[-bound[now] <= best.kth[q[now]]]
-            if not len(now):
-                break
-            hits = []
-            for x in np.unique(node[now]):
-                mine = q[now[node[now] == x]]
-                a, b = self.span[x]
-                rows = self.order[a:b]
-                s = queries[mine] @ points[rows].T
-                i, j = np.nonzero((-s <= best.kth[mine][:, None]) & (own[mine][:, None] != ids[rows][None, :]))
-                hits.append((mine[i], s[i, j], ids[rows[j]]))
+        trusted = self.products.most < LONG
+
+        def bounds(q, nodes):
+            return tree.bounds(up[q], down[q], nodes) if trusted else np.full(len(q), np.inf)
+
+        live = np.arange(len(queries))
+        first = bounds(live, np.zeros(len(live), np.int64))
+        live = live[-(first + slack) <= best.kth]
+        front = np.full((len(queries), len(tree.lo)), -np.inf)
+        front[live, 0] = first[live]
+        while len(live):
+            node = front[live].argmax(axis=1)
+            bound = front[live, node]
+            on = (bound > -np.inf) & (-(bound + slack) <= best.kth[live])
+            live, node = live[on], node[on]
+            front[live, node] = -np.inf
+            inner = tree.left[node] >= 0
+            q = live[inner]
+            for child in (tree.left[node[inner]], tree.right[node[inner]]):
+                front[q, child] = bounds(q, child)
+            self._measure(own, queries, live[~inner], node[~inner], best)
+
+    def _measure(self, own, queries, q, node, best) -> None:
+        hits = []
+        for x in np.unique(node):
+            mine = q[node == x]
+            a, b = self.tree.span[x]
+            s = self.products(queries[mine], self.points[a:b])
+            good = (-s.astype(np.float64) - self.products.slack <= best.kth[mine][:, None]) & (own[mine][:, None] != self.ids[a:b][None, :])
+            i, j = np.nonzero(good)
+            hits.append((mine[i], s[i, j], self.ids[a + j]))
+            self.measured += len(mine)
+        if hits:
             best.add(*(np.concatenate(x) for x in zip(*hits)))
-            at, step = at + step, step * 2
 
 
 def inner_top(rows: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHARD_ROWS, leaf: int = LEAF, block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score for rows and queries (id, v: whole numbers as doubles)."""
-    n = rows.count()
-    shards = slices(n, shard_rows, 1)
-    most = rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0.0
-    size = rows.select(F.size("v")).first()
-    if size and most * most * size[0] >= EXACT:
-        raise ValueError("inner products of these vectors don't fit the exact range of doubles")
-    dealt = cut(rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(shards)).cast("int")).repartition(min(shards, 4096), "shard").sortWithinPartitions("shard"))
-
-    def search(dealt: DataFrame, ids: np.ndarray, vectors: np.ndarray) -> DataFrame:
-        sent = dealt.sparkSession.sparkContext.broadcast((ids, vectors))
-
-        def each(frames):
-            own, wanted = sent.value
-            best = Best(len(own), k, -1)
-
-            def done(part):
-                if len(part):
-                    points = np.stack(part["v"].to_numpy())
-                    KdTree(points, leaf).search(part["id"].to_numpy(np.int64), points, own, wanted, best)
-
-            held = None
-            for f in frames:  # a shard can go over several batches
-                held = f if held is None else pd.concat([held, f], ignore_index=True)
-                while len(held) and held["shard"].iloc[0] != held["shard"].iloc[-1]:
-                    same = held["shard"] == held["shard"].iloc[0]
-                    done(held[same])
-                    held = held[~same].reset_index(drop=True)
-            if held is not None:
-                done(held)
-            yield best.frame(own)
-
-        return dealt.mapInPandas(each, "query_id long, vec_id long, score double")
-
-    return over_blocks(dealt, queries, block, search, "long", k, ascending=False)
+    """query_id, rank, vec_id, score for rows and queries (id, v: whole numbers as doubles).
+
+    Every row of queries gets a list, also where ids repeat; rows with a query's own id aren't its candidates, and rows
+    that repeat are candidates each. No rows or no queries: no rows.
+    """
+    at = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d"), F.max(F.array_max(F.transform("v", F.abs))).alias("most")).first()
+    n, d = at["n"], at["d"] or 1
+    most = at["most"] or 0.0
+    products = Products(d * most * most)
+    parts = parts_for(n, d, shard_rows)
+    sent = rows.sparkSession.sparkContext.broadcast(first_rows(rows))  # at most FIRST_ROWS
+
+    def start(ids, v):
+        best = Best(len(ids), k, -1, dtype=products.dtype)
+        first, points = sent.value
+        if len(first):
+            Shard(first, points, products, leaf).search(ids, v, best)
+        return best.kth
+
+    def made(ids, v, _):
+        shards = [Shard(ids[x], v[x], products, leaf) for x in KdTree(v, shard_rows).leaves()]
+
+        def search(own, wanted, kth):
+            best = Best(len(own), k, -1, kth, products.dtype)
+            for shard in shards:
+                shard.search(own, wanted, best)
+            return best
+
+        return search
+
+    return over_parts(chunks(rows, parts), parts, queries, k, -1, made, start, "long", block)
 
 
 def quantised(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """id, v: floor(256 * x) of the components of the rows that take part (null or non-finite ones don't)."""
     good = usable(rows, vec_id, vector, zero=True)
-    return good.select("id", F.transform("v", lambda x: F.floor(x * 256).cast("double")).alias("v"))
+    top = 1.7976931348623157e308
+    scaled = lambda x: F.greatest(F.least(x * 256, F.lit(top)), F.lit(-top))
+    # from 2**52 on, doubles are whole
+    whole = lambda x: F.when(F.abs(scaled(x)) < 2.0**52, F.floor(scaled(x)).cast("double")).otherwise(scaled(x))
+    return good.select("id", F.transform("v", whole).alias("v"))
 
 
 def op3_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries: ids divisible by 50, against all other rows, by quantised inner product; the best 5. Empty table: no rows."""
+    """Queries: ids divisible by 50, against all other rows, by quantised inner product; the best 5. Empty table: no rows.
+
+    Rows without an id, and vectors that are null, empty, not of the commonest dimension or not finite take no part; for
+    repeated ids and rows see inner_top. Other columns of the table are not read.
+    """
     rows = cut(quantised(table(spark, sf_dir, "embeddings")))
     return inner_top(rows, rows.where("id % 50 = 0"), 5)
 

@@ -8,19 +8,18 @@ distance is above the query's k-th best exact distance is left out, the others a
 The centre is the mean of at most CENTRE_ROWS rows; every row is coded and searched. At EPSILON, a true neighbour is
 left out with a probability far below a tenth (see the tests for the recall measured).
 
-Scale: the index is a table (id, 64-bit words, two scalars, the vector), made without a shuffle; a search is one pass
-over it for each block of queries, and each task gives k results for a query.
+Scale: the index is a table of chunks (ids, packed codes with their scalars, vectors), made without a shuffle; each of its
+parts is read once and searched by all blocks of queries, each with the k-th distance that it has among the first rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .vectors import QUERY_BLOCK, Best, batches_of, over_blocks, usable
+from .vectors import QUERY_BLOCK, Best, chunks, first_rows, over_parts, parts_for, usable
 
 CENTRE_ROWS = 20_000
 EPSILON = 3.0
@@ -57,73 +56,118 @@ class Coder:
         error = EPSILON * np.sqrt(np.maximum(1 - kept * kept, 0) / (kept * kept)) / np.sqrt(max(d - 1, 1))
         scale = 2 * q_length[:, None] * length
         estimate = q_length[:, None] ** 2 + length**2 - scale * cosine
-        return estimate, estimate - scale * error - 1e-6 * (1 + abs(estimate))
+        bound = estimate - scale * error - 1e-6 * (1 + abs(estimate))
+        # lengths whose squares are beyond doubles say nothing
+        return np.where(np.isnan(estimate), np.inf, estimate), np.where(np.isfinite(bound), bound, -np.inf)
 
 
-def build_index(rows: DataFrame) -> tuple[DataFrame, Coder | None]:
-    """The coded table of rows (id, v): id, code binary, length, kept, v."""
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(CENTRE_ROWS)
-    sums = some.select(F.posexplode("v")).groupBy("pos").agg(F.avg("col").alias("m")).orderBy("pos").collect()
-    if not sums:
-        return rows, None
-    coder = Coder(np.array([r["m"] for r in sums]))
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of a and b; scaled where the plain sum is beyond doubles."""
+    gap = a - b
+    with np.errstate(over="ignore"):
+        out = np.sqrt((gap * gap).sum(axis=1))
+    far = ~np.isfinite(out)
+    if far.any():
+        half = a[far] / 2 - b[far] / 2
+        most = np.maximum(abs(half).max(axis=1), 1e-300)
+        with np.errstate(over="ignore"):
+            out[far] = np.sqrt(((half / most[:, None]) ** 2).sum(axis=1)) * most * 2
+    return out
 
-    def each(frames):
-        for ids, v in batches_of(frames):
-            codes, length, kept = coder.encode(v)
-            yield pd.DataFrame({"id": ids, "code": [c.tobytes() for c in codes], "length": length, "kept": kept, "v": list(v)})
 
-    return cut(rows.mapInPandas(each, "id long, code binary, length double, kept double, v array<double>")), coder
+def centre_of(rows: DataFrame) -> np.ndarray | None:
+    """The mean of at most CENTRE_ROWS rows (id, v), None if there are none."""
+    some = rows.orderBy(F.xxhash64("id"), "id", "v").limit(CENTRE_ROWS)
+    means = some.select(F.posexplode("v")).groupBy("pos").agg(F.avg(F.col("col") / CENTRE_ROWS).alias("m")).orderBy("pos").collect()
+    return np.array([r["m"] * CENTRE_ROWS for r in means]) if means else None
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score (distance) of the k nearest found, for rows and queries (id, v)."""
-    index, coder = build_index(rows)
-
-    def search(index: DataFrame, ids: np.ndarray, vectors: np.ndarray) -> DataFrame:
-        sent = index.sparkSession.sparkContext.broadcast((ids, vectors, *coder.rotated(vectors)))
-
-        def each(frames):
-            own, wanted, o, q_length = sent.value
-            best = Best(len(own), k, 1)
-            for f in frames:
-                for at in range(0, len(f), ROWS_AT_ONCE):
-                    _block(coder, f.iloc[at : at + ROWS_AT_ONCE], own, wanted, o, q_length, best, k)
-            yield best.frame(own)
+def build_index(rows: DataFrame, parts: int, coder: Coder) -> DataFrame:
+    """The coded table of rows (id, v) in chunks: ids, vectors, and for each its length, kept and packed signs as bytes."""
 
-        return index.mapInPandas(each, "query_id long, vec_id long, score double")
+    def coded(v):
+        codes, length, kept = coder.encode(v)
+        return np.concatenate((np.stack((length, kept), axis=1).view(np.uint8).reshape(len(v), -1), codes), axis=1)
 
-    return over_blocks(index, queries, block, search, "double", k, ascending=True)
+    return cut(chunks(rows, parts, coded))
 
 
-def _block(coder, f, own, wanted, o, q_length, best, k) -> None:
-    ids, v = f["id"].to_numpy(np.int64), np.stack(f["v"].to_numpy())
-    codes = np.frombuffer(b"".join(f["code"]), np.uint8).reshape(len(f), -1)
-    length, kept = f["length"].to_numpy(), f["kept"].to_numpy()
-
-    def measure(i, j):
+def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score (distance) of the k nearest found, for rows and queries (id, v).
+
+    Every row of queries gets a list, also where ids repeat; rows with a query's own id aren't its candidates, and rows
+    that repeat are candidates each. No rows or no queries: no rows.
+    """
+    centre = centre_of(rows)
+    if centre is None:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    coder = Coder(centre)
+    parts = parts_for(rows.count(), len(centre))
+    index = build_index(rows, parts, coder)
+    sent = rows.sparkSession.sparkContext.broadcast(first_rows(rows))  # at most FIRST_ROWS
+
+    def start(ids, v):
+        best, (first, points) = Best(len(ids), k, 1), sent.value
+        Codes(coder, first, points).search(ids, v, best)
+        return best.kth
+
+    def made(ids, v, extra):
+        codes = Codes(coder, ids, v, extra)
+
+        def search(own, wanted, kth):
+            best = Best(len(own), k, 1, kth)
+            codes.search(own, wanted, best)
+            return best
+
+        return search
+
+    return over_parts(index, parts, queries, k, 1, made, start, "double", block)
+
+
+class Codes:
+    """Coded vectors in memory, ready to be searched."""
+
+    def __init__(self, coder: Coder, ids: np.ndarray, v: np.ndarray, extra: np.ndarray | None = None):
+        self.coder, self.ids, self.v = coder, ids, v
+        if extra is None:
+            self.codes, self.length, self.kept = coder.encode(v)
+        else:
+            self.codes = extra[:, 16:]
+            self.length, self.kept = np.ascontiguousarray(extra[:, :16]).view(np.float64).T
+
+    def search(self, own: np.ndarray, wanted: np.ndarray, best: Best) -> None:
+        o, q_length = self.coder.rotated(wanted)
+        for at in range(0, len(self.ids), ROWS_AT_ONCE):
+            part = slice(at, at + ROWS_AT_ONCE)
+            ids, v, codes, length, kept = self.ids[part], self.v[part], self.codes[part], self.length[part], self.kept[part]
+            few = min(best.k, len(ids))
+            for q in range(0, len(own), QUERIES_AT_ONCE):
+                mine = slice(q, q + QUERIES_AT_ONCE)
+                estimate, bound = self.coder.nearest_bound(codes, length, kept, o[mine], q_length[mine])
+                other = own[mine][:, None] != ids[None, :]
+                seen = np.zeros(estimate.shape, bool)
+                if not np.isfinite(best.kth[mine]).all():  # the best estimates give a first k-th distance
+                    first = np.argpartition(np.where(other, estimate, np.inf), few - 1, axis=1)[:, :few]
+                    i, j = np.repeat(np.arange(len(first)), few), first.reshape(-1)
+                    seen[i, j] = True
+                    apart = other[i, j]
+                    self._measure(i[apart] + q, j[apart], v, ids, wanted, best)
+                i, j = np.nonzero(other & ~seen & (bound <= (best.kth[mine] ** 2 * (1 + 1e-9))[:, None]))
+                self._measure(i + q, j, v, ids, wanted, best)
+
+    def _measure(self, i, j, v, ids, wanted, best) -> None:
         for at in range(0, len(i), 100_000):
             a, b = i[at : at + 100_000], j[at : at + 100_000]
-            gap = v[b] - wanted[a]
-            best.add(a, np.sqrt((gap * gap).sum(axis=1)), ids[b])
-
-    for at in range(0, len(own), QUERIES_AT_ONCE):
-        part = slice(at, at + QUERIES_AT_ONCE)
-        estimate, bound = coder.nearest_bound(codes, length, kept, o[part], q_length[part])
-        other = own[part][:, None] != ids[None, :]
-        few = min(k, len(ids))
-        first = np.argpartition(np.where(other, estimate, np.inf), few - 1, axis=1)[:, :few]
-        i = np.repeat(np.arange(len(first)), few)
-        j = first.reshape(-1)
-        seen = np.zeros(estimate.shape, bool)
-        seen[i, j] = True
-        apart = other[i, j]
-        measure(i[apart] + at, j[apart])  # the best estimates give a first k-th distance
-        i, j = np.nonzero(other & ~seen & (bound <= (best.kth[part] ** 2 * (1 + 1e-9))[:, None]))
-        measure(i + at, j)
+            d = distances(v[b], wanted[a])
+            good = d <= best.kth[a]
+            best.add(a[good], d[good], ids[b][good])
 
 
 def op10_onebit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries: ids divisible by 100, against all other rows; the nearest 10. Empty table: no rows."""
+    """Queries: ids divisible by 100, against all other rows; the nearest 10. Empty table: no rows.
+
+    Rows without an id, and vectors that are null, empty, zero, not of the commonest dimension or not finite take no part;
+    for repeated ids and rows see nearest. Other columns of the table are not read.
+    """
     rows = cut(usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", zero=False))
     return nearest(rows, rows.where("id % 100 = 0"), 10)
