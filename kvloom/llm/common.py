@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kvloom.materialize import cut
 from kvloom.shipping import ship
 
-__all__ = ["WORD", "cut", "remainder", "slices", "table"]
+__all__ = ["WORD", "cut", "given_names", "remainder", "slices", "table"]
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,3 +27,13 @@ def remainder(doc_id: Column, parts: int) -> Column:
 def slices(n_rows: int, rows_each: int, least: int = 8) -> int:
     """How many hash slices keep each at about rows_each rows."""
     return max(least, -(-n_rows // rows_each))
+
+
+def given_names(keep: tuple[str, ...], results: tuple[str, ...]) -> list[str]:
+    """Names under which kept columns come back: their own, or with _given after it where a result has that name."""
+    out: list[str] = []
+    for c in keep:
+        while c in results or c in out or c != keep[len(out)] and c in keep:
+            c += "_given"
+        out.append(c)
+    return out

@@ -8,7 +8,9 @@ blocks labelled as article are joined.
 The labeller is trained here, on pages that `training_page` writes by rule from a fixed seed (kinds of pages, names of
 containers, lengths), never on the table it reads; training takes seconds and is done once in a process.
 
-Scale: one pass over the pages, no shuffle; the weights (some ten thousand numbers) go with the task.
+Scale: one pass over the pages, no shuffle; the weights (some ten thousand numbers) go with the task. A block is held as the
+numbers of its path's slots and two dozen measures, paths are projected once each, and gates are made for some hundred
+steps at a time, so memory stays in proportion to the text of one page, however long or deeply nested.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import given_names, table
 
 PATH_SLOTS, LEAF_SLOTS, WORD_SLOTS, MEASURES = 256, 64, 16, 7
 INPUTS = PATH_SLOTS + LEAF_SLOTS + WORD_SLOTS + MEASURES
@@ -35,41 +37,79 @@ EPOCHS = 7
 
 #: Fixed by the HTML standard: elements without content, elements whose content isn't markup, elements in a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|iframe|svg|math|object|textarea|xmp"
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that aren't shown. Of those in SWALLOW an unclosed one takes the rest of the page; of the others only its tag goes.
+SWALLOW = frozenset("script style iframe textarea xmp".split())
+HIDDEN_ELEMENTS = SWALLOW | frozenset("noscript template object svg math".split())
 _TAG = re.compile(
-    rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:/>|>.*?(?:</(?P=raw)\s*>|$))|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>|<[a-zA-Z][^>]*>",
-    re.S | re.I,
+    r"<!--.*?(?:-->|$)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>|<[a-zA-Z][^>]*>",
+    re.S,
 )
+_ENDS = {x: re.compile(rf"</{x}\s*>", re.I) for x in HIDDEN_ELEMENTS}
 _NAMED = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
 
 class Block:
-    __slots__ = ("linked", "path", "text")
+    """text, and where it stands: path (slots of all open tags and names), leaf (slots of the innermost), depth, linked characters."""
 
-    def __init__(self, path: tuple, text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    __slots__ = ("depth", "leaf", "linked", "path", "text")
+
+    def __init__(self, path: tuple, leaf: tuple, depth: int, text: str, linked: int):
+        self.path, self.leaf, self.depth, self.text, self.linked = path, leaf, depth, text, linked
+
+
+def _slot(x: str, n: int) -> int:
+    return zlib.crc32(x.encode()) % n
+
+
+@lru_cache(maxsize=20_000)
+def _element(tag: str, names: tuple) -> tuple[tuple, tuple]:
+    """Slots of an element in a path, and as the innermost one."""
+    words = ("<" + tag, *names)
+    return tuple({_slot(w, PATH_SLOTS) for w in words}), tuple(sorted({_slot(w, LEAF_SLOTS) for w in words}))
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The page's leaf blocks in order: path (a tuple of (tag, names)), text (references decoded, white space as one blank)."""
+    """The page's leaf blocks in order; text has its references decoded and white space as one blank.
+
+    A self-closed svg or math has no content; an unclosed noscript, template, object, svg or math doesn't hide what follows.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []
+    stack: list[tuple[str, tuple, tuple]] = []
+    held: dict[int, int] = {}  # slots of the open elements, and how many hold each
+    opened: dict[str, int] = {}
     parts: list[str] = []
+    unclosed: set[str] = set()
+    path: tuple | None = ()
     linked, in_link = 0, False
 
     def close():
-        nonlocal linked
+        nonlocal linked, path
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(tuple(stack), text, linked))
+                if path is None:
+                    path = tuple(sorted(held))
+                out.append(Block(path, stack[-1][2] if stack else (), len(stack), text, linked))
             parts.clear()
         linked = 0
 
+    def pop():
+        nonlocal path
+        tag, slots, _ = stack.pop()
+        opened[tag] -= 1
+        for x in slots:
+            held[x] -= 1
+            if not held[x]:
+                del held[x]
+        path = None
+
     page, at = page or "", 0
-    for m in _TAG.finditer(page):
+    while True:
+        m = _TAG.search(page, at)
+        if m is None:
+            break
         if m.start() > at:
             piece = page[at : m.start()]
             parts.append(piece)
@@ -78,7 +118,16 @@ def blocks(page: str | None) -> list[Block]:
         name = m["name"]
         if not name:
             continue
-        name, end = name.lower(), m["end"]
+        name, end, rest = name.lower(), m["end"], m["rest"]
+        if name in HIDDEN_ELEMENTS:
+            if not end and not (name in ("svg", "math") and rest.endswith("/")):
+                shut = None if name in unclosed else _ENDS[name].search(page, at)
+                if shut:
+                    at = shut.end()
+                else:
+                    unclosed.add(name)
+                    at = len(page) if name in SWALLOW else at
+            continue
         if name in INLINE:
             if name == "a":
                 in_link = not end
@@ -87,51 +136,45 @@ def blocks(page: str | None) -> list[Block]:
         if name in VOID:
             continue
         if end:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if opened.get(name):
+                while stack[-1][0] != name:
+                    pop()
+                pop()
             in_link = False
             continue
         if stack and (stack[-1][0] == "p" or stack[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
-            stack.pop()
-        rest = m["rest"]
+            pop()
         names = tuple(w for x in _NAMED.findall(rest) for w in _WORDS.findall("".join(x).lower())) if "=" in rest else ()
         if not rest.endswith("/"):
-            stack.append((name, names))
+            stack.append((name, *_element(name, names)))
+            opened[name] = opened.get(name, 0) + 1
+            for x in stack[-1][1]:
+                held[x] = held.get(x, 0) + 1
+            path = None
     if at < len(page):
         parts.append(page[at:])
     close()
     return out
 
 
-def _slot(x: str, n: int) -> int:
-    return zlib.crc32(x.encode()) % n
-
-
-@lru_cache(maxsize=20_000)
-def _path_vector(path: tuple) -> np.ndarray:
-    v = np.zeros(PATH_SLOTS + LEAF_SLOTS, np.float32)
-    for tag, names in path:
-        v[_slot("<" + tag, PATH_SLOTS)] = 1
-        for w in names:
-            v[_slot(w, PATH_SLOTS)] = 1
-    if path:
-        v[PATH_SLOTS + _slot("<" + path[-1][0], LEAF_SLOTS)] = 1
-        for w in path[-1][1]:
-            v[PATH_SLOTS + _slot(w, LEAF_SLOTS)] = 1
-    return v
+def measures(found: list[Block]) -> np.ndarray:
+    """The hashed words and the measures of blocks, without their paths."""
+    x = np.zeros((len(found), WORD_SLOTS + MEASURES), np.float32)
+    for i, b in enumerate(found):
+        words = b.text.lower().split()
+        slots = np.bincount([zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORD_SLOTS for w in words], minlength=WORD_SLOTS)
+        x[i, :WORD_SLOTS] = slots / len(words)
+        n = len(b.text)
+        x[i, WORD_SLOTS:] = (np.log1p(n) / 8, np.log1p(len(words)) / 6, min(b.linked / n, 1), b.text.count(".") / len(words), i / len(found), (len(found) - i) / len(found), min(b.depth, 30) / 10)
+    return x
 
 
 def vectors(found: list[Block]) -> np.ndarray:
     x = np.zeros((len(found), INPUTS), np.float32)
     for i, b in enumerate(found):
-        x[i, : PATH_SLOTS + LEAF_SLOTS] = _path_vector(b.path)
-        words = b.text.lower().split()
-        slots = np.bincount([zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORD_SLOTS for w in words], minlength=WORD_SLOTS)
-        x[i, PATH_SLOTS + LEAF_SLOTS : INPUTS - MEASURES] = slots / len(words)
-        n = len(b.text)
-        x[i, INPUTS - MEASURES :] = (np.log1p(n) / 8, np.log1p(len(words)) / 6, min(b.linked / n, 1), b.text.count(".") / len(words), i / len(found), (len(found) - i) / len(found), len(b.path) / 10)
+        x[i, list(b.path)] = 1
+        x[i, [PATH_SLOTS + a for a in b.leaf]] = 1
+    x[:, PATH_SLOTS + LEAF_SLOTS :] = measures(found)
     return x
 
 
@@ -148,6 +191,10 @@ class Labeller:
         self.w["o"] = (rng.standard_normal(2 * HIDDEN) * 0.15).astype(np.float32)
         self.w["ox"] = np.zeros(INPUTS, np.float32)
         self.w["ob"] = np.zeros(1, np.float32)
+        self.projected: dict[tuple, np.ndarray] = {}
+
+    def __getstate__(self):
+        return {"w": self.w, "projected": {}}
 
     def _run(self, x: np.ndarray, live: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
         """States (pages, blocks, HIDDEN) in the order of x; live marks real blocks, others pass the state on."""
@@ -209,21 +256,63 @@ class Labeller:
             grad |= {f"{side}h": gh, f"{side}x": np.einsum("nti,ntg->ig", given, dz_all, optimize=True), f"{side}b": dz_all.sum(axis=(0, 1))}
         return grad
 
-    def label(self, pages: list[np.ndarray], at_once: int = 128) -> list[np.ndarray]:
-        """For each page (its vectors), which blocks are of the article."""
+    def label(self, pages: list[list[Block]], at_once: int = 128) -> list[np.ndarray]:
+        """For each page (its blocks), which blocks are of the article."""
         out: list = [np.zeros(0, bool)] * len(pages)
-        order = sorted(range(len(pages)), key=lambda i: len(pages[i]))
+        order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
         start = 0
         while start < len(order):
             longest = len(pages[order[min(start + at_once, len(order)) - 1]])
-            size = max(1, min(at_once, 100_000 // max(longest, 1)))
-            own = order[start : start + size]
+            size = max(1, min(at_once, 100_000 // longest))
+            own = order[start : start + size][::-1]
             start += size
-            n = np.array([len(pages[i]) for i in own])
-            if n.max():
-                p = self.forward(_padded([pages[i] for i in own]), n)
-                for i, k, row in zip(own, n, p):
-                    out[i] = row[:k] >= 0.5
+            logits = self.logits([pages[i] for i in own])
+            for i, x in zip(own, np.split(logits, np.cumsum([len(pages[i]) for i in own])[:-1])):
+                out[i] = x >= 0
+        return out
+
+    def _paths(self, found: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each block's path in a table, and the table: gates of both sides and the output by paths alone."""
+        table, places, seen = [], np.empty(len(found), np.int32), {}
+        for i, b in enumerate(found):
+            key = b.path, b.leaf
+            at = seen.get(key)
+            if at is None:
+                row = self.projected.get(key)
+                if row is None:
+                    if len(self.projected) >= 20_000:
+                        self.projected.clear()
+                    slots = [*b.path, *(PATH_SLOTS + x for x in b.leaf)]
+                    row = self.projected[key] = np.concatenate([self.w[k][slots].sum(axis=0).reshape(-1) for k in ("fx", "bx", "ox")])
+                at = seen[key] = len(table)
+                table.append(row)
+            places[i] = at
+        return places, np.array(table, np.float32)
+
+    def logits(self, pages: list[list[Block]], steps: int = 512) -> np.ndarray:
+        """Log odds of all blocks, page after page; pages don't grow in length and none is empty."""
+        n = np.array([len(p) for p in pages])
+        found = [b for p in pages for b in p]
+        starts, (places, table), rest = np.cumsum(n) - n, self._paths(found), np.concatenate([measures(p) for p in pages])
+        tail = PATH_SLOTS + LEAF_SLOTS
+        out = table[places, 8 * HIDDEN] + rest @ self.w["ox"][tail:] + self.w["ob"][0]
+        for side, o in (("f", self.w["o"][:HIDDEN]), ("b", self.w["o"][HIDDEN:])):
+            columns = slice(0, 4 * HIDDEN) if side == "f" else slice(4 * HIDDEN, 8 * HIDDEN)
+            own, wx, wh, bias = table[:, columns], self.w[f"{side}x"][tail:], self.w[f"{side}h"], self.w[f"{side}b"]
+            h = c = np.zeros((len(pages), HIDDEN), np.float32)
+            for first in range(0, int(n[0]), steps):
+                live = int((n > first).sum())
+                k = np.arange(first, min(first + steps, int(n[0])))[None, :]
+                at = np.minimum(k, n[:live, None] - 1)
+                at = starts[:live, None] + (at if side == "f" else n[:live, None] - 1 - at)
+                gates = own[places[at]] + rest[at] @ wx + bias
+                for j in range(k.shape[1]):
+                    m = int((n > first + j).sum())  # the pages that go on are the first ones
+                    z = gates[:m, j] + h[:m] @ wh
+                    s = 1 / (1 + np.exp(-z[:, : 3 * HIDDEN]))
+                    c = s[:, HIDDEN : 2 * HIDDEN] * c[:m] + s[:, :HIDDEN] * np.tanh(z[:, 3 * HIDDEN :])
+                    h = s[:, 2 * HIDDEN :] * np.tanh(c)
+                    out[at[:m, j]] += h @ o
         return out
 
 
@@ -255,7 +344,10 @@ TAGS = {
 def training_page(rng: random.Random) -> tuple[str, list[bool]]:
     """A page by rule, and for each of its blocks whether it is of the article. Words are random syllables."""
     syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve que la des sch ung ción ado".split()
-    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    letters = "aeiouybcdfghjklmnprstvwz"
+    # each page has a vocabulary of its own sort: listed syllables, or letters at random
+    sort = rng.random() < 0.5
+    word = lambda: "".join(rng.choice(syllables) if sort else rng.choice(letters) + rng.choice(letters) for _ in range(rng.randint(1, 4)))
     hint = {"notice": "cookies accept privacy", "form": "subscribe email search name submit", "comments": "reply says ago likes", "footer": "© rights reserved terms", "advert": "buy now offer sponsored", "menu": "home about contact news"}
     out: list[tuple[str, bool | None]] = []  # markup, or text with its label
 
@@ -278,7 +370,10 @@ def training_page(rng: random.Random) -> tuple[str, list[bool]]:
     def chunk(kind):
         tag = rng.choice(TAGS[kind].split())
         plain = tag in ("div", "section", "ul", "ol", "ins", "dialog")
-        mark(f"<{tag}{named(kind) if plain or rng.random() < 0.6 else ''}>".replace("<div>", f'<div class="{rng.choice(NAMES[kind].split())}">').replace("<section>", f'<section class="{rng.choice(NAMES[kind].split())}">').replace("<ul>", f'<ul class="{rng.choice(NAMES[kind].split())}">').replace("<ol>", f'<ol class="{rng.choice(NAMES[kind].split())}">'))
+        attr = named(kind) if plain or rng.random() < 0.6 else ""
+        if plain and not attr and kind not in ("menu", "footer", "form"):  # these show by what they hold, others need a name
+            attr = f' class="{rng.choice(NAMES[kind].split())}"'
+        mark(f"<{tag}{attr}>")
         style = rng.random()
         n = rng.randint(1, 7)
         if kind in ("menu", "footer", "header") and rng.random() < 0.25:
@@ -311,9 +406,11 @@ def training_page(rng: random.Random) -> tuple[str, list[bool]]:
         outer = rng.random() < 0.3
         mark("<main>" if outer else "")
         attr = named("article") if tag in ("div", "section") or rng.random() < 0.3 else ""
-        if tag in ("div", "section") and not attr:
-            attr = f' class="{rng.choice(NAMES["article"].split())}"'
-        mark("" if bare else f"<{tag}{attr}>")
+        if tag in ("div", "section") and rng.random() < 0.4:  # without a name, or with one that says nothing
+            attr = rng.choice(("", "", f' id="{word()}"', f' class="{word()} {word()}"', f' id="x{rng.randint(1, 99)}"', ' style="margin:0"'))
+        layers = rng.choice((0, 0, 0, 1, 2)) if tag in ("div", "section") else 0
+        mark("" if bare else f"<{tag}{attr}>" + "<div>" * layers)
+        paragraph = rng.choice(("p", "p", "p", "div")) if tag != "article" or rng.random() < 0.2 else "p"
         if rng.random() < 0.8:
             h = rng.choice(("h1", "h1", "h2"))
             wrap = rng.random() < 0.15
@@ -325,12 +422,12 @@ def training_page(rng: random.Random) -> tuple[str, list[bool]]:
         for i in range(rng.choice((1, 2, 3, 5, 8, 14, 25))):
             r = rng.random()
             if r < 0.7:
-                mark("<p>")
+                mark(f"<{paragraph}>")
                 if rng.random() < 0.15:
                     text(words(1, 30), True)
                     mark("<br>")
                 text(words(*rng.choice(((1, 2), (3, 20), (20, 120)))), True)
-                mark("</p>" if rng.random() < 0.7 else "")
+                mark(f"</{paragraph}>" if paragraph == "div" or rng.random() < 0.7 else "")
             elif r < 0.81:
                 mark("<ul>")
                 for _ in range(rng.randint(1, 5)):
@@ -343,10 +440,15 @@ def training_page(rng: random.Random) -> tuple[str, list[bool]]:
                 text(words(2, 50), True)
                 mark("</p></blockquote>")
             elif r < 0.93:
-                mark("<h2>")
+                h = rng.choice(("h2", "h3", "h4"))
+                mark(f"<{h}>")
                 text(words(1, 8), True)
-                mark("</h2>")
-            elif r < 0.96:
+                mark(f"</{h}>")
+            elif r < 0.95:
+                mark(rng.choice(("<figure><img>", '<figure><svg class="i"/>', "<figure>")) + "<figcaption>")
+                text(words(2, 16), True)
+                mark("</figcaption></figure>")
+            elif r < 0.97:
                 mark("<table><tr>")
                 for _ in range(rng.randint(1, 6)):
                     mark("<td>")
@@ -357,7 +459,7 @@ def training_page(rng: random.Random) -> tuple[str, list[bool]]:
                 chunk(rng.choice(("advert", "advert", "form", "sidebar")))
         if rng.random() < 0.1 and not bare:
             chunk("comments")
-        mark("" if bare else f"</{tag}>")
+        mark("" if bare else "</div>" * layers + f"</{tag}>")
         mark("</main>" if outer else "")
 
     if rng.random() < 0.08:  # a fragment without a frame
@@ -370,7 +472,7 @@ def training_page(rng: random.Random) -> tuple[str, list[bool]]:
         out.append((words(2, 10), False))
         mark("</title></head><body>")
         wrapped = rng.random() < 0.3
-        mark(f'<div class="{rng.choice(("wrapper", "container", "page", "site"))}">' if wrapped else "")
+        mark(rng.choice(("<div>", "<div><div>", f'<div class="{rng.choice(("wrapper", "container", "page", "site"))}">', f'<div id="{word()}">')) if wrapped else "")
         for kind in ("header", "menu", "notice", "advert", "form"):
             if rng.random() < (0.75 if kind == "menu" else 0.4):
                 chunk(kind)
@@ -419,22 +521,35 @@ def trained(pages: int = TRAINING_PAGES, epochs: int = EPOCHS, seed: int = SEED)
 
 
 def extract(pages: DataFrame, html: str = "html", *keep: str, labeller: Labeller | None = None) -> DataFrame:
-    """keep, text, n_chars for each row. Null and empty pages, and pages without an article, have an empty text."""
+    """keep, text, n_chars for each row. Null and empty pages, and pages without an article, have an empty text.
+
+    Equal rows give equal rows, no rows give none. A kept column by the name of a result comes back as <name>_given.
+    """
     net = labeller or trained()
+    kept = given_names(keep, ("text", "n_chars"))
 
     def each(batches):
         for b in batches:
-            texts = []
-            for at in range(0, b.num_rows, 256):
-                found = [blocks(x.as_py()) for x in b.column(b.num_columns - 1)[at : at + 256]]
-                for own, labels in zip(found, net.label([vectors(x) for x in found])):
-                    texts.append(" ".join(x.text for x, yes in zip(own, labels) if yes))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*keep, "text", "n_chars"])
-
-    given = pages.select(*keep, F.col(html).cast("string").alias("__html"))
+            texts, held, size = [], [], 0
+            for x in b.column(b.num_columns - 1):
+                page = x.as_py()
+                held.append(page)
+                size += len(page or "")
+                if len(held) == 256 or size > 4_000_000:
+                    texts += article_texts(net, held)
+                    held, size = [], 0
+            texts += article_texts(net, held)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*kept, "text", "n_chars"])
+
+    given = pages.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept)), F.col(html).cast("string").alias("__html"))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema.fields[:-1])
     return given.mapInArrow(each, f"{kinds}text string, n_chars long")
 
 
+def article_texts(net: Labeller, pages: list[str | None]) -> list[str]:
+    found = [blocks(x) for x in pages]
+    return [" ".join(x.text for x, yes in zip(own, labels) if yes) for own, labels in zip(found, net.label(found))]
+
+
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"), "html", "page_id", "url")

@@ -451,7 +451,7 @@ def test_extraction_of_unseen_pages():
         page, labels = html.training_page(rng)
         found = html.blocks(page)
         if len(found) == len(labels) and found:
-            right += int((net.label([html.vectors(found)])[0] == np.array(labels)).sum())
+            right += int((net.label([found])[0] == np.array(labels)).sum())
             total += len(labels)
     assert right / total >= 0.95
 
@@ -462,7 +462,56 @@ def test_blocks_of_odd_markup():
     assert shown("a&amp;b <b>c</b>d<br>e") == ["a&b cd", "e"]
     assert shown("<script>if (a<b) '</p>'</script><p>x<!-- <p>no</p> -->y</p>") == ["xy"]
     assert shown("1 < 2 <p title='a>b'>q</p>") == ["1 < 2", "q"]
-    assert shown('<p class="broken>text') and html.blocks("<li>a<li>b")[1].path == (("li", ()),)
+    assert shown('<p class="broken>text') and [b.depth for b in html.blocks("<li>a<li>b")] == [1, 1]
+    assert shown("<p>a</div></p>b</section>c") == ["a", "b", "c"]
+
+
+def test_hidden_elements_hide_their_content_only():
+    shown = lambda x: [b.text for b in html.blocks(x)]
+    assert shown('<p>before</p><math alttext="x"/><p>after</p>') == shown('<p>before</p><SVG class="i" /><p>after</p>') == ["before", "after"]
+    assert shown("<p>a<svg><path d='M0'/><text>no</text></svg>b</p>") == ["ab"]
+    for x in ("noscript", "object", "template", "svg", "math"):
+        assert shown(f"<p>a</p><{x}><p>b</p>") == ["a", "b"] and shown(f"<p>a</p><{x}><p>b</p></{x} ><p>c</p>") == ["a", "c"]
+    for x in ("script", "style", "iframe", "textarea"):
+        assert shown(f"<p>a</p><{x}><p>b</p>") == ["a"] and shown(f"<p>a</p><{x}/><p>b</p></{x}><p>c</p>") == ["a", "c"]
+
+
+PROSE = ("Lorem ipsum dolor sit amet, consectetur adipiscing elit. Sed do eiusmod tempor incididunt ut labore.", "Another paragraph of other words, which goes on for a while. It ends here.")
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<html><body><nav><ul><li><a href="/">Home</a></li></ul></nav><svg class="i"/><article><h1>Title</h1><p>{0}</p></article></body></html>', "Title {0}"),
+        ("<html><body><div><div>{0}</div><div>{1}</div></div></body></html>", "{0} {1}"),
+        ('<html><body><nav><a href="/a">Home</a> <a href="/b">News</a></nav><div id="x2"><h1>A heading</h1><p>{0}</p><p>{1}</p><p>{0} {1}</p><p>Short.</p></div><footer>&copy; all rights reserved</footer></body></html>', "A heading {0} {1} {0} {1} Short."),
+        ("<html><body><article><h1>T</h1><p>{0}</p><figure><img src=x><figcaption>What the picture shows</figcaption></figure><p>{1}</p></article></body></html>", "T {0} What the picture shows {1}"),
+        ('<html><body><article><p>{0}</p><p>{1}</p></article><div class="comments"><div>Joe says I liked it</div><div>Ann: me too</div></div></body></html>', "{0} {1}"),
+        ('<html><body><div class="sidebar"><h3>Related</h3><ul><li><a href="/1">One</a></li></ul></div><main><h1>Main</h1><p>{0}</p></main><div class="cookie-banner">We use cookies. Accept</div></body></html>', "Main {0}"),
+    ],
+)
+def test_articles_in_containers_of_any_name(page, want):
+    assert html.article_texts(html.trained(), [page.format(*PROSE)]) == [want.format(*PROSE)]
+
+
+def test_long_and_deep_pages():
+    """Sparse inference equals the dense one, and a page of many blocks, deeply nested, needs little memory."""
+    import tracemalloc
+
+    net = html.trained()
+    pages = [html.blocks(html.training_page(random.Random(k))[0]) for k in range(20)]
+    pages = sorted((p for p in pages if p), key=len, reverse=True)
+    flat, at = net.logits(pages, steps=3), 0
+    for p in pages:
+        q = net.forward(html.vectors(p)[None], np.array([len(p)]))[0]
+        assert np.allclose(q, 1 / (1 + np.exp(-flat[at : at + len(p)])), atol=1e-4)
+        at += len(p)
+    page = "<div>" * 5000 + "".join(f"<div>word {i}<p>x{i}</section>" for i in range(10_000)) + "<svg>" * 5000
+    tracemalloc.start()
+    found = html.blocks(page)
+    assert len(found) == 20_000 and len(net.label([found])[0]) == 20_000
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
 
 
 def test_gradients():
@@ -493,6 +542,9 @@ def test_extraction_keeps_odd_rows(spark):
     rows = [(1, None, "u"), (2, "", None), (3, "plain words without any markup at all", "u"), (3, "plain words without any markup at all", "u")]
     got = html.extract(spark.createDataFrame([(*r, 5) for r in rows], "page_id long, html string, url string, n_chars int"), "html", "page_id", "url").collect()
     assert sorted((r.page_id, r.text) for r in got)[:2] == [(1, ""), (2, "")] and len(got) == 4
+    pages = spark.createDataFrame([("<p>a</p>", "given", 7)], "html string, text string, n_chars int")
+    assert html.extract(pages, "html", "text", "n_chars").columns == ["text_given", "n_chars_given", "text", "n_chars"]
+    assert html.extract(pages.limit(0), "html", "text").count() == 0
 
 
 # pipeline
