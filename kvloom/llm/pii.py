@@ -1,18 +1,20 @@
 """Surrogates for personal data, in DataFrame and SQL functions only.
 
 One pattern finds e-mail addresses, telephone numbers, network addresses, card, social-security and account numbers,
-access keys, values of passwords and tokens, and names after a form of address. Each becomes a value of its kind,
-drawn by a keyed SHA-256 of the entity's canonical form: letters stay letters of their case, digits digits, punctuation
-stays, a card number that passes its check digit passes again, a telephone number keeps its country code, a name keeps
-gender and script. Equal entities, however written, get equal surrogates (a name's parts are entities of their own, so
-"Mr. John Hill" and "Mr. Hill" stay linked).
+access keys, values of passwords and tokens, dates of birth, and names after forms of address and titles. Each becomes a
+value of its kind, drawn by a keyed SHA-256 of the entity's canonical form: letters stay letters of their case, digits
+digits, punctuation stays, a card number that passes its check digit passes again, a telephone number keeps its country
+code, a name keeps gender and script, a date its way of writing. Equal entities, however written, get equal surrogates (a
+name's parts are entities of their own, so "Mr. John Hill", "Dr. HILL" and "Mr. Hill" stay linked).
 
 Collision checks: over the distinct entities, no two may get the same surrogate and none may get a form that occurs;
-those that do are drawn again with the next attempt number until there are none. Texts are then rewritten in place,
-with no shuffle: an attempt number other than 0 is looked up in a map of the redrawn entities.
+those that do are drawn again with the next attempt number until there are none. (Dates are all moved by one keyed number
+of days, which keeps them apart; initials are letters and can't be kept apart.) Texts are then rewritten in place: an
+attempt number other than 0 is looked up, in a literal of up to SENT redrawn entities, or beyond in a map that each text
+with such entities gets by a join on the text's digest.
 
 Scale: what is shuffled are the distinct entities (aggregated before the shuffle, so one address in a third of the
-documents is one row for each task). The map of redrawn entities is checked to be below MAX_REDRAWN.
+documents is one row for each task). Texts are shuffled only where more than SENT entities are drawn again.
 """
 
 from __future__ import annotations
@@ -25,11 +27,18 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 KEY = "kvloom"
-MAX_REDRAWN = 100_000
+SENT = 10_000
+_BUCKETS = 1024
 MAX_ATTEMPTS = 24
 
 MALE = r"Mr|Herr|Herrn|Monsieur|Señor|Sr|Don|Господин|г-н|Κύριος"
 FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Señorita|Sra|Doña|Госпожа|г-жа|Κυρία"
+#: Titles that say nothing of gender; the first name's ending then decides.
+NEUTRAL = r"Dr|Prof|Professor|Doctor|Доктор|Профессор"
+_FEMININE = r"(?i)(?:a|e|я|а|α|η|ά|ή)$"
+_PART = r"\p{Lu}(?:['’]\p{Lu})?\p{L}+"
+_TITLES = rf"(?:(?:{MALE}|{FEMALE}|{NEUTRAL})\.? )+"
+_DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: What stands before a secret: the word, with any prefix that ends in a mark, and its sign, in any case.
 _KEYWORD = r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|token|secret|api_key|apikey)[\"']?\s{0,2}[=:]\s{0,2}"
@@ -44,24 +53,27 @@ PATTERNS = {
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9\-])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}(?![0-9])",
     "card": r"(?<![0-9A-Za-z\-])(?:[0-9][ \-]?){12,18}[0-9](?![0-9A-Za-z])",
-    "name": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{Ll}}+(?:[ \-]\p{{Lu}}\p{{Ll}}+){{0,2}}",
+    "birth": rf"(?<=(?i:born|birth|dob|geboren|geburtsdatum|nacid[oa]|nacimiento|née?|naissance|родился|родилась|рождения)[ :(]{{1,3}}(?:on |am |le |el )?){_DATE}(?![0-9])",
+    "name": rf"(?<!\p{{L}}){_TITLES}(?:\p{{Lu}}\. ?){{0,2}}{_PART}(?:[ \-]{_PART}){{0,2}}",
 }
 _P = {k: f"(?:{p})" for k, p in PATTERNS.items()}
 #: Each branch starts with a look at one character, which settles most places in a text at once.
-_OTHERS = rf"(?=[0-9+(])(?:{_P['ip']}|{_P['ssn']}|{_P['phone']}|{_P['card']})|(?=[A-Z])(?:{_P['key']}|{_P['iban']})|(?=[MHFSDГгΚ]){_P['name']}"
+_OTHERS = rf"(?=[0-9+(])(?:{_P['birth']}|{_P['ip']}|{_P['ssn']}|{_P['phone']}|{_P['card']})|(?=[A-Z])(?:{_P['key']}|{_P['iban']})|(?=[MHFSDPГгΚДП]){_P['name']}"
 _WITHOUT_MAIL = f"{_P['secret']}|{_OTHERS}"
 PATTERN = f"{_P['secret']}|{_P['email']}|{_OTHERS}"
 
+#: Names are made of syllables and an ending: 16 * 16 * 8 first names and 16 ** 3 * 8 surnames at first, 16 times as many with each attempt.
+SYLLABLES = {"latin": "bar den fol gan hel kir lam mor nes pol rin sal tor val wen zor", "cyrillic": "бар ден фол ган хел кир лам мор нес пол рин сал тор вал вен зор", "greek": "βαρ δεν φολ γαν κελ λαμ μορ νες πολ ριν σαλ τορ βελ δαν κιρ ζορ"}
 FIRST = {
-    "m:latin": "Adrian Bruno Caleb Dario Edgar Felix Gustav Hugo Ivo Jonas Kaspar Leon Milo Nestor Oscar Paul",
-    "f:latin": "Alma Berta Clara Delia Elena Flora Greta Hanna Irma Julia Klara Lena Mira Nora Olga Paula",
-    "m:cyrillic": "Антон Борис Виктор Глеб Денис Егор Иван Кирилл",
-    "f:cyrillic": "Анна Вера Галина Дарья Елена Жанна Ирина Ольга",
-    "m:greek": "Ανδρέας Γιώργος Νίκος Πέτρος",
-    "f:greek": "Άννα Ελένη Μαρία Σοφία",
+    "m:latin": "o us an el ard win rich mund",
+    "f:latin": "a ia ina ela etta wina linda ara",
+    "m:cyrillic": "ий ан ей ил ор ин ад им",
+    "f:cyrillic": "ия ана ея ила ора ина ада има",
+    "m:greek": "ος ης ας ιος ανης ινος ωνας ιας",
+    "f:greek": "α η ια ινα ανη ουλα ιτσα ωνη",
 }
-SYLLABLES = {"latin": "bar den fol gan hel kir lam mor nes pol rin sal tor val wen zor", "cyrillic": "бар ден фол ган хел кир лам мор нес пол рин сал тор вал вен зор", "greek": "βαρ δεν φολ γαν κελ λαμ μορ νες πολ ριν σαλ τορ"}
-ENDING = {"latin": ("", ""), "cyrillic": ("ов", "ова"), "greek": ("ης", "η")}
+LAST = {"latin": "son mann er ez ini berg ard ell", "cyrillic": "ов ев ин ский цкий ых их ко", "greek": "ης ος ας ιδης ακης οπουλος ελης ινος"}
+_LAST_WOMAN = "ова ева ина ская цкая ова ева ина"
 
 
 def _text(s: str) -> str:
@@ -80,6 +92,7 @@ def _digits(v: str) -> str:
 
 def kind_of(m: str) -> str:
     tests = [("email", f"{m} rlike {_text('^(?:' + PATTERNS['email'] + ')$')}"), ("name", f"{m} rlike {_text('^(?:' + PATTERNS['name'] + ')$')}")]
+    tests += [("birth", f"{m} rlike {_text('^' + _DATE + '$')}")]
     tests += [(k, f"{m} rlike {_text('^(?:' + PATTERNS[k] + ')$')}") for k in ("key", "iban", "ip", "ssn", "phone", "card")]
     return "case " + " ".join(f"when {t} then '{k}'" for k, t in tests) + " else 'secret' end"
 
@@ -93,15 +106,21 @@ def script_of(p: str) -> str:
     return f"case when {p} rlike '^\\\\p{{IsCyrillic}}' then 'cyrillic' when {p} rlike '^\\\\p{{IsGreek}}' then 'greek' else 'latin' end"
 
 
+def titles_of(m: str) -> str:
+    """The forms of address and titles before a name, with the blank after them."""
+    return f"regexp_extract({m}, {_text('^' + _TITLES)}, 0)"
+
+
 def tokens(m: str, kind: str) -> str:
     """array<struct<kind, canon>> of a match: a name's parts, or the match itself."""
-    woman = _text(rf"^(?:{FEMALE})\.?$")
-    parts = f"split({m}, '[ \\\\-]')"
-    last = f"size({parts}) - 2"
-    gender = f"if({parts}[0] rlike {woman}, 'f', 'm')"
-    name = f"transform(slice({parts}, 2, 9), (p, i) -> named_struct('kind', concat(if(i = {last}, 'last:', 'first:'), {gender}, ':', {script_of('p')}), 'canon', lower(p)))"
+    titles = titles_of(m)
+    parts = f"split(substr({m}, length({titles}) + 1), '[ \\\\-]')"
+    man, woman = (_text(rf"(?:^| )(?:{x})\.? ") for x in (MALE, FEMALE))
+    gender = f"case when {titles} rlike {woman} then 'f' when {titles} rlike {man} then 'm' when p rlike {_text(_FEMININE)} then 'f' else 'm' end"
+    initial = _text(r"^\p{Lu}\.$")
     # a surname is one entity for both genders
-    name = f"transform({name}, t -> named_struct('kind', regexp_replace(t.kind, '^last:.:', 'last:'), 'canon', t.canon))"
+    part = f"case when p rlike {initial} then 'initial' when i = size(ps) - 1 then concat('last:', {script_of('p')}) else concat('first:', {gender}, ':', {script_of('p')}) end"
+    name = _let(parts, "ps", f"transform(ps, (p, i) -> named_struct('kind', {part}, 'canon', replace(lower(p), '’', chr(39))))")
     return f"if({kind} = 'name', {name}, array(named_struct('kind', {kind}, 'canon', {canonical(kind, m)})))"
 
 
@@ -150,19 +169,32 @@ def _email(v: str, key: str, h: str) -> str:
     return f"concat({_chars(f'split({v}, chr(64))[0]', h)}, '@', {host})"
 
 
+def _spread(v: str, fresh: str) -> str:
+    """v with its characters but for blanks replaced by those of fresh, in order."""
+    return f"array_join(transform(split({v}, ''), (c, i) -> if(c = ' ', c, substr({fresh}, length(replace(substr({v}, 1, i + 1), ' ', '')), 1))), '')"
+
+
 def _name(kind: str, v: str, h: str, attempt: str) -> str:
     """A part of a name by its kind (first:gender:script or last:script), longer with every attempt; v's case is kept."""
-    cases = []
-    for k, listed in FIRST.items():
-        words = "array(" + ", ".join(map(_text, listed.split())) + ")"
-        size = len(listed.split())
-        more = f"array_join(transform(sequence(0, {attempt}), k -> {words}[{_draw(h, 'k', str(size))}]), '-')"
-        cases.append(f"when {kind} = 'first:{k}' then {more}")
-    for script, listed in SYLLABLES.items():
-        words = "array(" + ", ".join(map(_text, listed.split())) + ")"
-        size = len(listed.split())
-        cases.append(f"when {kind} = 'last:{script}' then initcap(concat(array_join(transform(sequence(0, 2 + {attempt}), k -> {words}[{_draw(h, 'k', str(size))}]), ''), if({v} rlike 'а$', {_text(ENDING[script][1])}, {_text(ENDING[script][0])})))")
-    return "case " + " ".join(cases) + f" else {v} end"
+    words = lambda listed: "array(" + ", ".join(map(_text, listed.split())) + ")"
+    made = lambda script, n: f"array_join(transform(sequence(1, {n} + {attempt}), k -> {words(SYLLABLES[script])}[{_draw(h, 'k', '16')}]), '')"
+    ending = lambda listed: f"{words(listed)}[{_draw(h, '0', '8')}]"
+    cases = [f"when {kind} = 'initial' then concat(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 1 + {_draw(h, '0', '26')}, 1), '.')"]
+    cases += [f"when {kind} = 'first:{k}' then concat({made(k[2:], 2)}, {ending(listed)})" for k, listed in FIRST.items()]
+    for script, listed in LAST.items():
+        last = f"if({v} rlike {_text('(?i)а$')}, {ending(_LAST_WOMAN)}, {ending(listed)})" if script == "cyrillic" else ending(listed)
+        cases.append(f"when {kind} = 'last:{script}' then concat({made(script, 3)}, {last})")
+    mark = _text(r"^\p{L}['’]")
+    shaped = f"case when {kind} = 'initial' then x when length({v}) > 1 and {v} = upper({v}) then upper(x) else initcap(x) end"
+    return _let("case " + " ".join(cases) + f" else {v} end", "x", f"if({v} rlike {mark}, concat(left({v}, 2), {shaped}), {shaped})")
+
+
+def _birth(v: str, key: str) -> str:
+    """The date moved by a number of days that the key alone decides, written as v; an impossible date gets other digits."""
+    days = f"cast(200 + pmod(conv(substr(sha2(concat({_text(key)}, '|birth'), 256), 1, 7), 16, 10), 3000) as int)"
+    forms = (("-", "yyyy-MM-dd"), (".", "d.M.yyyy"), ("/", "d/M/yyyy"))
+    moved = "coalesce(" + ", ".join(f"date_format(date_sub(cast(try_to_timestamp({v}, '{f}') as date), {days}), if({v} rlike '^[0-9]{{2}}.[0-9]{{2}}.[0-9]{{4}}$', '{f.replace('d.M', 'dd.MM').replace('d/M', 'dd/MM')}', '{f}'))" for _, f in forms)
+    return f"{moved}, translate({v}, '0123456789', '3456789012'))"
 
 
 def surrogate(key: str, kind: str, canon: str, v: str, attempt: str) -> str:
@@ -173,7 +205,7 @@ def surrogate(key: str, kind: str, canon: str, v: str, attempt: str) -> str:
     ssn = f"concat(lpad(cast(1 + {_draw('h', '0', '665')} as string), 3, '0'), '-', lpad(cast(1 + {_draw('h', '1', '99')} as string), 2, '0'), '-', lpad(cast(1 + {_draw('h', '2', '9999')} as string), 4, '0'))"
     body = (
         f"case when {kind} = 'email' then {_email(v, key, 'h')} when {kind} = 'phone' then {_phone(v, canon, 'h', attempt)} when {kind} = 'card' then {_card(v, canon, 'h')} "
-        f"when {kind} = 'ip' then {ip} when {kind} = 'ssn' then if({v} like '%-%', {ssn}, {_digits(ssn)}) when {kind} = 'key' then {keyed} when {kind} = 'iban' then concat(left({v}, 2), {_chars(f'substr({v}, 3)', 'h')}) "
+        f"when {kind} = 'ip' then {ip} when {kind} = 'ssn' then if({v} like '%-%', {ssn}, {_digits(ssn)}) when {kind} = 'key' then {keyed} when {kind} = 'iban' then {_let(f"concat(left({canon}, 2), {_chars(f'substr({canon}, 3)', 'h')})", 'fresh', _spread(v, 'fresh'))} when {kind} = 'birth' then {_birth(v, key)} "
         f"when {kind} = 'secret' then {secret} else {_name(kind, v, 'h', attempt)} end"
     )
     return _let(_digest(key, kind, canon, attempt), "h", body)
@@ -190,9 +222,9 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.select(F.explode(F.expr(tokens("m", "k"))).alias("t")).select("t.kind", "t.canon").distinct()
 
 
-def redrawn(found: DataFrame, key: str = KEY) -> dict[str, int]:
-    """Attempt numbers above 0, by kind|canon, with which all entities get surrogates of their own."""
-    found = cut(found)
+def redrawn(found: DataFrame, key: str = KEY) -> DataFrame:
+    """name (kind|canon), attempt: the entities that need an attempt above 0 for all to have surrogates of their own."""
+    found = cut(found.where("kind not in ('initial', 'birth')"))
     state = found.withColumn("attempt", F.lit(0))
     for _ in range(MAX_ATTEMPTS):
         drawn = state.withColumn("fresh", F.expr(canonical_of_surrogate(key)))
@@ -201,47 +233,66 @@ def redrawn(found: DataFrame, key: str = KEY) -> dict[str, int]:
         again = drawn.withColumn("n", F.row_number().over(Window.partitionBy("kind", "fresh").orderBy("attempt", "canon"))).where("n > 1").select("kind", "canon")
         bad = cut(known.union(again).distinct())
         if bad.isEmpty():
-            got = state.where("attempt > 0").limit(MAX_REDRAWN + 1).collect()
-            if len(got) > MAX_REDRAWN:
-                raise ValueError(f"more than {MAX_REDRAWN} surrogates had to be drawn again")
-            return {f"{r['kind']}|{r['canon']}": r["attempt"] for r in got}
+            return state.where("attempt > 0").select(F.concat_ws("|", "kind", "canon").alias("name"), "attempt")
         bad = bad.withColumn("bad", F.lit(1))
         state = cut(state.join(bad, ["kind", "canon"], "left").select("kind", "canon", (F.col("attempt") + F.coalesce("bad", F.lit(0))).alias("attempt")))
     raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} attempts")
 
 
+def _listed(attempts: DataFrame) -> str:
+    """SQL for the attempt of entity t, of a literal: maps in buckets by a hash of the name, so that none is long."""
+    buckets: list[dict] = [{} for _ in range(_BUCKETS)]
+    for r in attempts.select("name", "attempt", F.pmod(F.xxhash64("name"), F.lit(_BUCKETS)).alias("b")).collect():  # at most SENT
+        buckets[r["b"]][r["name"]] = r["attempt"]
+    name = "concat(t.kind, '|', t.canon)"
+    return f"coalesce(from_json({_text(json.dumps(buckets))}, 'array<map<string,int>>')[cast(pmod(xxhash64({name}), {_BUCKETS}) as int)][{name}], 0)"
+
+
+def _by_text(given: DataFrame, attempts: DataFrame) -> DataFrame:
+    """given with __attempts: for texts with redrawn entities their attempts by name. Texts are known by their SHA-256."""
+    marked = given.withColumn("__sha", F.sha2("text", 256))
+    own = marked.select("__sha", F.explode(F.expr(matches("text"))).alias("m")).withColumn("k", F.expr(kind_of("m"))).select("__sha", F.explode(F.expr(tokens("m", "k"))).alias("t"))
+    own = own.select("__sha", F.concat_ws("|", "t.kind", "t.canon").alias("name")).distinct().join(attempts, "name")
+    maps = own.groupBy("__sha").agg(F.map_from_entries(F.collect_list(F.struct("name", "attempt"))).alias("__attempts"))
+    return marked.join(maps, "__sha", "left")
+
+
 def canonical_of_surrogate(key: str) -> str:
     """Of columns kind, canon, attempt: the canonical form of the surrogate."""
     fresh = surrogate(key, "kind", "canon", "canon", "attempt")
-    return _let(fresh, "s", f"if(kind like 'first:%' or kind like 'last:%', lower(s), {canonical('kind', 's')})")
+    return _let(fresh, "s", f"if(kind like 'first:%' or kind like 'last:%', replace(lower(s), '’', chr(39)), {canonical('kind', 's')})")
 
 
-def replaced(text: str, found: str, key: str, attempts: dict[str, int]) -> Column:
-    """The text column with surrogates for its matches, the array column found."""
-    lookup = f"coalesce(from_json({_text(json.dumps(attempts))}, 'map<string,int>')[concat(t.kind, '|', t.canon)], 0)" if attempts else "0"
+def replaced(text: str, found: str, key: str, lookup: str) -> Column:
+    """The text column with surrogates for its matches, the array column found; lookup is SQL for the attempt of entity t."""
     one = _let(lookup, "attempt", surrogate(key, "t.kind", "t.canon", "{v}", "attempt"))
-    parts = "split(m, ' ')"
-    # a name: form of address, then each part with the blank or hyphen before it
+    titles = titles_of("m")
+    # a name: forms of address, then each part with the blank or hyphen before it
     gap = _text(r"^[ \-]")
     part = one.replace("{v}", f"regexp_replace(z.`1`, {gap}, '')")
     part = _let("z.k_tokens", "t", f"concat(regexp_extract(z.`1`, {gap}, 0), {part})")
-    rest = f"regexp_extract_all(substr(m, length({parts}[0]) + 1), {_text('[ -][^ -]+')}, 0)"
-    titled = f"concat({parts}[0], array_join(transform(arrays_zip(k_tokens, {rest}), z -> {part}), ''))"
+    rest = f"regexp_extract_all(concat(' ', substr(m, length({titles}) + 1)), {_text('[ -][^ -]+')}, 0)"
+    titled = f"concat({titles}, substr(array_join(transform(arrays_zip(k_tokens, {rest}), z -> {part}), ''), 2))"
     single = _let("k_tokens[0]", "t", one.replace("{v}", "m"))
     each = _let(kind_of("m"), "k", _let(tokens("m", "k"), "k_tokens", f"if(k = 'name', {titled}, {single})"))
     return F.expr(f"if(size({found}) > 0, array_join(flatten(transform(arrays_zip(split({text}, {_text(PATTERN)}, -1), transform({found}, m -> {each})), p -> array(p.`0`, coalesce(p.`1`, '')))), ''), {text})")
 
 
-def pseudonymised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str = KEY, sent: int = SENT) -> DataFrame:
     """doc_id, text with surrogates, n_entities for each row.
 
     A null text stays null and an empty one empty, with no entities; equal rows give equal rows; other columns are not
     looked at. No rows, no rows.
     """
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    attempts = redrawn(entities(given), key)
+    attempts = cut(redrawn(entities(given), key))
+    n = attempts.count()
+    if n > sent:
+        given, lookup = _by_text(given, attempts), "coalesce(__attempts[concat(t.kind, '|', t.canon)], 0)"
+    else:
+        lookup = _listed(attempts) if n else "0"
     marked = given.withColumn("found", F.expr(matches("text")))
-    return marked.select("doc_id", replaced("text", "found", key, attempts).alias("text"), F.greatest(F.size("found"), F.lit(0)).alias("n_entities"))
+    return marked.select("doc_id", replaced("text", "found", key, lookup).alias("text"), F.greatest(F.size("found"), F.lit(0)).alias("n_entities"))
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
