@@ -3,15 +3,17 @@
 Two zstandard dictionaries are trained, one on windows of toxic texts, one on windows of ordinary texts. A window is a
 word (letters only, at most WINDOW characters a piece), with each character spelt as SPELL fixed bytes, so that the
 coder's least match and its fixed costs don't hide single letters. A window is compressed with each dictionary; the
-pair of lengths is looked up in a table of log likelihood ratios, calibrated on labelled texts that the dictionaries
-haven't seen. A text's score is a logistic curve of the sum over its windows.
+pair of lengths is looked up in a table of log likelihood ratios, calibrated on labelled texts that had no part in
+fitting the dictionaries. A text's score is a logistic curve of the sum over its windows.
 
 Toxic texts are mostly ordinary words, so their dictionary is trained on the windows that set them apart: those with a
-run of characters that several unrelated toxic texts share and that is many times as common there.
+run of characters that several unrelated toxic texts of the fitting half share and that is many times as common there.
+Both dictionaries are trained by zstandard; after what the trainer keeps of the toxic windows, which is too few for it,
+all of them follow whole. Windows of several words, or all windows of toxic texts, don't work here: see the README.
 
 Scale: one pass over the texts, no shuffle of texts. Dictionaries and table are below 200 kB together. They are fitted
-on at most FIT_TEXTS labelled texts of each class, chosen by a hash of the id; lengths of known words are kept in a
-bounded cache in each worker.
+on at most FIT_TEXTS labelled texts and FIT_CHARACTERS characters of each class, chosen by a hash of the id; lengths of
+known words are kept in a bounded cache in each worker.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, table
+from .common import cut, given_names, remainder, table
 
 FIT_TEXTS = 3000
+FIT_CHARACTERS = 50_000_000
 WINDOW = 24
 SPELL = 3
 GRAMS = (5, 7, 9)
@@ -133,28 +136,29 @@ class Model:
 
 
 def _train(samples: list[bytes], size: int) -> bytes:
-    """A dictionary of the samples. Where all different ones fit in it, or they are too few to train on, they are its content, the commonest last."""
-    different = [x for x, _ in Counter(samples).most_common()]
-    if sum(map(len, different)) > size:
-        try:
-            return zstandard.train_dictionary(size, samples).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    return b"".join(reversed(different))[-size:] or b"\0" * 8
+    """A dictionary trained on the samples; nothing where they are too few for the trainer."""
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def _whole(samples: list[bytes], size: int) -> bytes:
+    """The different samples one after the other, the commonest last."""
+    return b"".join(x for x, _ in reversed(Counter(samples).most_common()))[-size:]
 
 
 def fit_texts(ordinary: list[str], toxic: list[str]) -> Model:
-    """A model of labelled texts. Every second text trains the dictionaries, the others calibrate."""
+    """A model of labelled texts. Every second text trains the dictionaries, the others only calibrate."""
     bags = [[windows(t) for t in dict.fromkeys(texts)] for texts in (ordinary, toxic)]
     usual: Counter = Counter()
-    for bag in bags[0]:
+    for bag in bags[0][::2]:
         usual.update(bag.keys())
     bags[1] = _families(bags[1], usual)
     learn, check = [b[::2] for b in bags], [b[1::2] for b in bags]
-    # runs of characters that several toxic texts share and that are many times as common there (of both halves: only
-    # which windows are shown to the dictionary follows from this)
+    # runs of characters that several toxic texts share and that are many times as common there
     shared: Counter = Counter()
-    for bag in bags[1]:
+    for bag in learn[1]:
         shared.update(bag.keys())
     wanted = {g for w, n in shared.items() if n >= 3 for g in grams(w)}
     counts: list[Counter] = [Counter(), Counter()]
@@ -162,13 +166,15 @@ def fit_texts(ordinary: list[str], toxic: list[str]) -> Model:
         for w, n in found.items():
             for g in grams(w) & wanted:
                 counts[side][g] += n
-    least = max(4, 0.01 * len(bags[1]))
-    marks = {g for g, n in counts[1].items() if n >= least and n * (len(bags[0]) + 1) >= TIMES * (counts[0][g] + 0.5) * (len(bags[1]) + 1)}
+    least = max(4, 0.01 * len(learn[1]))
+    marks = {g for g, n in counts[1].items() if n >= least and n * (len(learn[0]) + 1) >= TIMES * (counts[0][g] + 0.5) * (len(learn[1]) + 1)}
     toxic_windows = Counter(w for bag in learn[1] for w in bag if grams(w) & marks)
     ordinary_windows = Counter(w for bag in learn[0] for w in bag)
     samples = [spelt(w) for w, n in sorted(toxic_windows.items()) for _ in range(min(n, 20))]
     usual_samples = [spelt(w) for w, n in sorted(ordinary_windows.items(), key=lambda x: (-x[1], x[0]))[:30_000] for _ in range(min(n, 3))]
-    coders = Compressors(_train(usual_samples, DICTIONARY), _train(samples, DICTIONARY))
+    trained = _train(usual_samples, DICTIONARY) or _whole(usual_samples, DICTIONARY) or b"\0" * 8
+    apart = _train(samples, max(1024, min(DICTIONARY, sum(len(spelt(w)) for w in toxic_windows)))) + _whole(samples, DICTIONARY) or b"\0" * 8
+    coders = Compressors(trained, apart)
     # table of log likelihood ratios of the pairs of lengths
     kept: dict[str, tuple[int, int]] = {}
     cells: list[Counter] = [Counter(), Counter()]
@@ -209,30 +215,49 @@ def _curve(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1]) + math.log(CUT / (1 - CUT))
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxic", texts: int = FIT_TEXTS) -> Model | None:
-    """A model of at most `texts` labelled texts of each class that aren't held out; None if either class has none."""
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxic", texts: int = FIT_TEXTS, characters: int = FIT_CHARACTERS) -> Model | None:
+    """A model of at most `texts` labelled texts, of at most `characters` together, of each class that aren't held out.
+
+    None if either class has none. Of a document with several labels each counts; labels that aren't 0 or 1, and null
+    texts, count for nothing.
+    """
     ids = labels.select(F.col("doc_id").alias("__id"), F.col(label).alias("__label")).where(~held_out)
     chosen = None
     for c in (0, 1):
         some = ids.where(F.col("__label") == c).orderBy(F.xxhash64("__id"), "__id").limit(texts)
         chosen = some if chosen is None else chosen.union(some)
     # at most 2 * texts ids: a bounded broadcast
-    got = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).where("text is not null").select("__label", "__id", "text").collect()
-    got.sort(key=lambda r: (hashlib.blake2b(str(r["__id"]).encode()).digest(), r["text"]))
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).where("text is not null")
+    found = cut(found.select("__label", "__id", "text", F.length("text").alias("n"), F.xxhash64("text").alias("h")))
+    order = lambda r: (hashlib.blake2b(str(r["__id"]).encode()).digest(), r["h"])
+    at, most = {0: 0, 1: 0}, set()
+    for r in sorted(found.select("__label", "__id", "n", "h").collect(), key=order):
+        at[r["__label"]] += r["n"]
+        if at[r["__label"]] > characters:
+            most.add((r["__label"], r["__id"], r["h"]))
+    got = found
+    if most:
+        gone = docs.sparkSession.createDataFrame(sorted(most), found.select("__label", "__id", "h").schema)
+        got = found.join(F.broadcast(gone), ["__label", "__id", "h"], "left_anti")
+    got = sorted(got.select("__label", "__id", "text", "h").collect(), key=order)
     sides = [[r["text"] for r in got if r["__label"] == c] for c in (0, 1)]
     return fit_texts(*sides) if all(sides) else None
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, *keep: str, text: str = "text") -> DataFrame:
-    """keep, score, predicted for each row. Null and empty texts have no evidence; without a model all score 0.5."""
+    """keep, score, predicted for each row. Null and empty texts have no evidence; without a model all score 0.5.
+
+    A kept column by the name of a result comes back as <name>_given. No rows, no rows.
+    """
+    kept = given_names(keep, ("score", "predicted"))
 
     def each(batches):
         for b in batches:
             texts = b.column(b.num_columns - 1)
             s = np.array([model.score(t.as_py()) for t in texts] if model is not None else [0.5] * len(texts), dtype=np.float64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= CUT).astype("int32"))], [*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= CUT).astype("int32"))], [*kept, "score", "predicted"])
 
-    given = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    given = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept)), F.col(text).cast("string").alias("__text"))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema.fields[:-1])
     return given.mapInArrow(each, f"{kinds}score double, predicted int")
 
