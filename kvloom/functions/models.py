@@ -10,6 +10,13 @@ from dataclasses import dataclass
 import numpy as np
 
 
+def ahead(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a - b as unsigned numbers, 0 where a is below b: keys may be further apart than a long reaches."""
+    a, b = np.broadcast_arrays(np.asarray(a, np.int64), np.asarray(b, np.int64))
+    gap = np.ascontiguousarray(a).view(np.uint64) - np.ascontiguousarray(b).view(np.uint64)
+    return np.where(a > b, gap, np.uint64(0))
+
+
 def cone(keys: np.ndarray, pos: np.ndarray, error: float) -> list[tuple[int, float, int, int]]:
     """(first_key, slope, first_pos, n) of segments: lines through their first point that miss no point by more than error.
 
@@ -20,7 +27,7 @@ def cone(keys: np.ndarray, pos: np.ndarray, error: float) -> list[tuple[int, flo
     while at < n:
         lo, hi, end, run = 0.0, np.inf, at + 1, 64
         while end < n:
-            x = (keys[end : end + run] - keys[at]).astype(np.float64)
+            x = ahead(keys[end : end + run], keys[at]).astype(np.float64)
             y = (pos[end : end + run] - pos[at]).astype(np.float64)
             with np.errstate(divide="ignore", invalid="ignore"):
                 least = np.maximum(np.maximum.accumulate(np.where(x > 0, (y - error) / x, np.where(y > error, np.inf, -np.inf))), lo)
@@ -72,7 +79,7 @@ class Segments:
         held = -(-(self.n + 1) // self.sample) if self.sample > 1 else self.n
         following = np.append(self.first_pos[1:], held)[s]
         # subtract before going to doubles: beyond 2**53 they'd lose the difference
-        p = self.first_pos[s] + self.slope[s] * np.maximum(keys - self.first_key[s], 0).astype(np.float64)
+        p = self.first_pos[s] + self.slope[s] * ahead(keys, self.first_key[s]).astype(np.float64)
         p = np.minimum(p, following)
         lower = np.floor(p - self.error - 1).astype(np.int64) * self.sample
         upper = (np.ceil(p + self.error + 2).astype(np.int64)) * self.sample
@@ -111,14 +118,14 @@ class Spline:
     def of(cls, key: np.ndarray, pos: np.ndarray, n: int, bits: int) -> Spline:
         span = int(key[-1]) - int(key[0]) if len(key) else 0
         shift = max(span.bit_length() - bits, 0)
-        heads = (key - key[0]) >> shift if len(key) else key
+        heads = (ahead(key, key[0]) >> np.uint64(shift)).astype(np.int64) if len(key) else key
         size = (int(heads[-1]) if len(key) else 0) + 2
         return cls(key, pos, shift, np.searchsorted(heads, np.arange(size + 1)), 0, n)
 
     def guess(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.key):
             return np.zeros(len(keys))
-        head = np.clip((np.maximum(keys, self.key[0]) - self.key[0]) >> self.shift, 0, len(self.radix) - 2)
+        head = np.minimum(ahead(keys, self.key[0]) >> np.uint64(self.shift), np.uint64(len(self.radix) - 2)).astype(np.int64)
         lo, hi = np.maximum(self.radix[head] - 1, 0), np.minimum(self.radix[head + 1], len(self.key) - 1)
         while (hi - lo > 1).any():  # between the two knots of a prefix
             mid = (lo + hi) // 2
@@ -126,8 +133,8 @@ class Spline:
             lo, hi = np.where(right, mid, lo), np.where(right | (hi - lo <= 1), hi, mid)
         lo = np.where(self.key[hi] <= keys, hi, lo)
         nxt = np.minimum(lo + 1, len(self.key) - 1)
-        run = np.maximum(self.key[nxt] - self.key[lo], 1).astype(np.float64)
-        step = np.clip((keys - self.key[lo]).astype(np.float64) / run, 0, 1)
+        run = np.maximum(ahead(self.key[nxt], self.key[lo]), np.uint64(1)).astype(np.float64)
+        step = np.clip(ahead(keys, self.key[lo]).astype(np.float64) / run, 0, 1)
         return self.pos[lo] + step * (self.pos[nxt] - self.pos[lo])
 
     def bounds(self, keys: np.ndarray):
@@ -151,11 +158,11 @@ class TwoLevel:
     n: int
 
     def leaf(self, keys: np.ndarray) -> np.ndarray:
-        return np.clip(((keys - self.least).astype(np.float64) * self.scale).astype(np.int64), 0, len(self.slope) - 1)
+        return np.clip((ahead(keys, self.least).astype(np.float64) * self.scale).astype(np.int64), 0, len(self.slope) - 1)
 
     def bounds(self, keys: np.ndarray):
         leaf = self.leaf(keys)
-        p = self.intercept[leaf] + self.slope[leaf] * (keys - self.least).astype(np.float64)
+        p = self.intercept[leaf] + self.slope[leaf] * ahead(keys, self.least).astype(np.float64)
         p = np.clip(p, self.first_pos[leaf], self.end_pos[leaf])
         lower = np.maximum(np.floor(p - self.error[leaf] - 1), self.first_pos[leaf])
         upper = np.minimum(np.ceil(p + self.error[leaf] + 2), self.end_pos[leaf] + 1)

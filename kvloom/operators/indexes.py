@@ -7,22 +7,27 @@ blocks of rows by an equi-join on the block number, never by a range join.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvloom.functions.models import Blocks, Segments, Spline, TwoLevel, cone
-from kvloom.functions.search import STRATEGIES
+from kvloom.functions.search import ALL
 from kvloom.materialize import cut
 
 from .spec import IndexSpec
 
 MAX_ENTRIES = 5_000_000
 UPPER_ERROR = 4
+RADIX_BITS = 18
+#: Probes of a block that are searched together, and the least and most rows of a block.
+PROBES = 8192
+LEAST_BLOCK, MOST_BLOCK = 256, 65_536
 
 
 @dataclass
@@ -31,9 +36,26 @@ class Index:
     model: object
     entries: DataFrame
     size_bytes: int
+    spec: IndexSpec | None = None
+    facts: dict = field(default_factory=dict)
+
+    @property
+    def max_error(self) -> int:
+        """The most places that a window of bounds spans, where the model has one number for it; else 0."""
+        m = self.model
+        return (2 * m.error + 4) * m.sample if isinstance(m, Segments) else 2 * m.error + 3 if isinstance(m, Spline) else m.size if isinstance(m, Blocks) else 0
 
     def save(self, path: str) -> None:
-        self.entries.write.mode("overwrite").parquet(path)
+        """Entries as Parquet, and beside them what else the model needs as one row of JSON."""
+        self.entries.write.mode("overwrite").parquet(f"{path}/entries")
+        row = {"name": self.name, "spec": asdict(self.spec), "facts": self.facts}
+        self.entries.sparkSession.createDataFrame([(json.dumps(row),)], "facts string").coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    """An index that was saved, without a look at the table."""
+    row = json.loads(spark.read.parquet(f"{path}/facts").first()["facts"])
+    return _made(IndexSpec(**row["spec"]), spark.read.parquet(f"{path}/entries"), row["facts"])
 
 
 def _entries(df: DataFrame) -> pd.DataFrame:
@@ -82,28 +104,48 @@ def _stack(keys: np.ndarray, error: int, levels: int = 8) -> Segments | None:
 
 def build(positioned: DataFrame, spec: IndexSpec) -> Index:
     """An index of the kind that spec names over a table (key long, pos), partitions sorted by key."""
-    n = positioned.count()
-    kind = spec.type
-    if kind == "alex":
-        return Index(kind, None, positioned.select("key"), 0)
-    if kind == "btree":
-        entries = cut(block_index(positioned, spec.leaf_rows))
-        held = _entries(entries).sort_values("block_id")
-        return Index(kind, Blocks(held["max_key"].to_numpy(np.int64), spec.leaf_rows, n), entries, 16 * len(held))
-    if kind == "rmi":
-        return _two_level(positioned, n, max(1, n // max(spec.leaf_rows, 1)))
+    at = positioned.agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.max("pos").alias("end")).first()
+    facts = {"n": at["n"], "lo": at["lo"], "hi": at["hi"], "end": at["end"]}
+    if spec.type == "alex":
+        return _made(spec, positioned.select("key"), facts)
+    if spec.type == "btree":
+        return _made(spec, cut(block_index(positioned, spec.leaf_rows)), facts)
+    if spec.type == "rmi":
+        facts["leaves"] = min(max(1, facts["n"] // max(spec.leaf_rows, 1)), MAX_ENTRIES)
+        return _made(spec, _leaves(positioned, facts), facts)
     given = positioned
     if spec.sample > 1:
         given = positioned.where((F.col("pos") + 1) % spec.sample == 0).withColumn("pos", F.expr(f"(pos + 1) div {spec.sample} - 1"))
     entries = cut(segments(given, spec.error))
-    held = _entries(entries).sort_values(["first_pos", "first_key"])
+    if spec.type == "radixspline":
+        facts["error"] = 0
+        facts["error"] = _worst(positioned, _made(spec, entries, facts).model.guess)
+    return _made(spec, entries, facts)
+
+
+def _made(spec: IndexSpec, entries: DataFrame, facts: dict) -> Index:
+    """The index that entries and facts describe."""
+    kind, n = spec.type, facts["n"]
+    if kind == "alex":
+        return Index(kind, None, entries, 0, spec, facts)
+    held = _entries(entries)
+    if kind == "btree":
+        held = held.sort_values("block_id")
+        return Index(kind, Blocks(held["max_key"].to_numpy(np.int64), spec.leaf_rows, n), entries, 16 * len(held), spec, facts)
+    if kind == "rmi":
+        return Index(kind, _two_level(held, facts), entries, 40 * facts["leaves"], spec, facts)
+    held = held.sort_values(["first_pos", "first_key"])
     keys, pos = held["first_key"].to_numpy(np.int64), held["first_pos"].to_numpy(np.int64)
     if kind == "radixspline":
-        return _spline(positioned, entries, keys, pos, n)
+        if facts["hi"] is not None and (not len(keys) or keys[-1] < facts["hi"]):
+            keys, pos = np.append(keys, facts["hi"]), np.append(pos, facts["end"])
+        model = Spline.of(keys, pos, n, RADIX_BITS)
+        model.error = facts["error"]
+        return Index(kind, model, entries, 16 * len(keys) + 8 * len(model.radix), spec, facts)
     model = Segments(keys, held["slope"].to_numpy(float), pos, spec.error, n, spec.sample)
     if kind in ("pgm", "sampledpgm"):
         model.upper = _stack(keys, UPPER_ERROR)
-    return Index(kind, model, entries, 24 * len(held))
+    return Index(kind, model, entries, 24 * len(held), spec, facts)
 
 
 def _worst(positioned: DataFrame, guess) -> int:
@@ -116,30 +158,25 @@ def _worst(positioned: DataFrame, guess) -> int:
     return int(np.ceil(positioned.select(off("key", "pos").alias("e")).agg(F.max("e")).first()[0] or 0))
 
 
-def _spline(positioned: DataFrame, entries: DataFrame, keys: np.ndarray, pos: np.ndarray, n: int, bits: int = 18) -> Index:
-    last = positioned.agg(F.max("key"), F.max("pos")).first()
-    if last[0] is not None and (not len(keys) or keys[-1] < last[0]):
-        keys, pos = np.append(keys, last[0]), np.append(pos, last[1])
-    model = Spline.of(keys, pos, n, bits)
-    model.error = _worst(positioned, model.guess)
-    return Index("radixspline", model, entries, 16 * len(keys) + 8 * len(model.radix))
-
-
-def _two_level(positioned: DataFrame, n: int, leaves: int) -> Index:
-    at = positioned.agg(F.min("key").alias("lo"), F.max("key").alias("hi")).first()
-    lo, hi = at["lo"] or 0, at["hi"] or 0
-    scale = leaves / (hi - lo + 1)
-    x = (F.col("key") - F.lit(lo)).cast("double")
+def _leaves(positioned: DataFrame, facts: dict) -> DataFrame:
+    """leaf, slope, intercept, first_pos, end_pos, error of the leaves of a two-level model."""
+    lo, leaves = facts["lo"] or 0, facts["leaves"]
+    scale = leaves / ((facts["hi"] or 0) - lo + 1)
+    x = (F.col("key").cast("decimal(20,0)") - F.lit(str(lo)).cast("decimal(20,0)")).cast("double")  # may pass what longs hold
     rows = positioned.withColumn("leaf", F.least(F.greatest((x * F.lit(scale)).cast("long"), F.lit(0)), F.lit(leaves - 1))).withColumn("x", x)
     fit = rows.groupBy("leaf").agg(F.coalesce(F.regr_slope("pos", "x"), F.lit(0.0)).alias("slope"), F.avg("x").alias("mx"), F.avg("pos").alias("mp"), F.min("pos").alias("first_pos"), (F.max("pos") + 1).alias("end_pos"))
     fit = cut(fit.select("leaf", F.greatest("slope", F.lit(0.0)).alias("slope"), (F.col("mp") - F.greatest("slope", F.lit(0.0)) * F.col("mx")).alias("intercept"), "first_pos", "end_pos"))
     error = F.max(F.abs(F.col("intercept") + F.col("slope") * F.col("x") - F.col("pos"))).alias("error")
-    entries = cut(fit.join(rows.join(fit.select("leaf", "slope", "intercept"), "leaf").groupBy("leaf").agg(error), "leaf"))
-    held = _entries(entries).set_index("leaf").reindex(range(leaves))
+    return cut(fit.join(rows.join(fit.select("leaf", "slope", "intercept"), "leaf").groupBy("leaf").agg(error), "leaf"))
+
+
+def _two_level(held: pd.DataFrame, facts: dict) -> TwoLevel:
+    lo, leaves = facts["lo"] or 0, facts["leaves"]
+    held = held.set_index("leaf").reindex(range(leaves))
     end = held["end_pos"].ffill().fillna(0).to_numpy(np.int64)
     first = held["first_pos"].fillna(pd.Series(end, index=held.index)).to_numpy(np.int64)
-    model = TwoLevel(int(lo), scale, held["slope"].fillna(0).to_numpy(), held["intercept"].fillna(pd.Series(end.astype(float), index=held.index)).to_numpy(), first, end, held["error"].fillna(0).to_numpy(), n)
-    return Index("rmi", model, entries, 40 * leaves)
+    scale = leaves / ((facts["hi"] or 0) - lo + 1)
+    return TwoLevel(int(lo), scale, held["slope"].fillna(0).to_numpy(), held["intercept"].fillna(pd.Series(end.astype(float), index=held.index)).to_numpy(), first, end, held["error"].fillna(0).to_numpy(), facts["n"])
 
 
 def with_bounds(probes: DataFrame, index: Index) -> DataFrame:
@@ -153,38 +190,59 @@ def with_bounds(probes: DataFrame, index: Index) -> DataFrame:
     return probes.withColumn("__b", look("key")).select(*probes.columns, "__b.lower", "__b.upper", "__b.approx_pos")
 
 
-def find(positioned: DataFrame, probes: DataFrame, index: Index, search: str = "binary", block: int = 256) -> DataFrame:
-    """key, pos, found for each different key of probes: its lower bound, searched within the index's bounds."""
+def window_rows(index: Index) -> int:
+    """Rows of the blocks in which an index's lookups search: a power of two that the widest window of bounds fits in."""
+    rows = LEAST_BLOCK
+    while rows < min(index.max_error, MOST_BLOCK):
+        rows *= 2
+    return rows
+
+
+def find(positioned: DataFrame, probes: DataFrame, index: Index, search: str = "binary", block: int | None = None) -> DataFrame:
+    """key, pos, found for each different key of probes: its lower bound, searched within the index's bounds.
+
+    Rows are held in blocks, as wide as the index's error asks for unless `block` says otherwise. A block meets its probes
+    in groups of about PROBES, and each group is searched at once; a block that very many probes ask for makes several.
+    """
+    wanted = probes.select("key").where("key is not null").distinct()
     if index.model is None:
-        wanted = probes.select("key").where("key is not null").distinct()
         hit = positioned.groupBy("key").agg(F.min("pos").alias("pos"))
         return wanted.join(hit, "key", "left").select("key", "pos", F.col("pos").isNotNull().alias("found"))
-    last = max(index.model.n - 1, 0) // block
-    asked = with_bounds(probes.select("key").where("key is not null").distinct(), index)
-    asked = asked.withColumn("block", F.explode(F.sequence(F.least(F.expr(f"lower div {block}"), F.lit(last)), F.least(F.expr(f"(upper - 1) div {block}"), F.lit(last)))))
+    if not index.model.n:
+        return wanted.select("key", F.lit(0).cast("long").alias("pos"), F.lit(False).alias("found"))
+    block = block or window_rows(index)
+    last = (index.model.n - 1) // block
+    asked = with_bounds(wanted, index)
+    asked = asked.select("key", "approx_pos", F.explode(F.sequence(F.least(F.expr(f"lower div {block}"), F.lit(last)), F.least(F.expr(f"(upper - 1) div {block}"), F.lit(last)))).alias("block"))
+    groups = asked.groupBy("block").agg(F.ceil(F.count("*") / PROBES).cast("int").alias("groups"))
     held = positioned.groupBy(F.expr(f"pos div {block}").alias("block")).agg(F.sort_array(F.collect_list("key")).alias("keys"))  # block rows a group
-    step = STRATEGIES[search]
+    held = held.join(groups, "block").withColumn("group", F.explode(F.expr("sequence(0, groups - 1)")))
+    asked = asked.join(groups.withColumnRenamed("block", "__b"), F.col("block") == F.col("__b")).withColumn("group", F.pmod(F.xxhash64("key"), F.col("groups").cast("long")).cast("int"))
+    asked = asked.groupBy("block", "group").agg(F.collect_list("key").alias("probes"), F.collect_list("approx_pos").alias("guess"))
+    step = ALL[search]
+
+    def each(batches):
+        values = lambda c: c.values.to_numpy(zero_copy_only=False)
+        for b in batches:
+            for r in range(b.num_rows):
+                first = b.column(0)[r].as_py() * block
+                keys, probe, guess = (values(b.column(c)[r]) for c in (1, 2, 3))
+                at = step(keys, probe, guess - first)
+                same = keys[np.minimum(at, len(keys) - 1)] == probe
+                pos = np.where(at < len(keys), first + at, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(probe), pa.array(pos), pa.array(np.full(len(probe), first + len(keys))), pa.array(same)], ["key", "pos", "end", "found"])
 
-    @F.pandas_udf("long")
-    def local(key: pd.Series, keys: pd.Series, guess: pd.Series) -> pd.Series:
-        return pd.Series([step(np.asarray(a), k, g) for k, a, g in zip(key, keys, guess)], dtype="int64")
+    met = held.join(asked, ["block", "group"]).select("block", "keys", "probes", "guess").mapInArrow(each, "key long, pos long, end long, found boolean")
+    inside = F.min(F.when(F.col("pos") >= 0, F.col("pos")))
+    return met.groupBy("key").agg(F.coalesce(inside, F.max("end")).alias("pos"), F.max("found").alias("found"))
 
-    base = F.col("block") * block
-    got = asked.join(held, "block").withColumn("i", local("key", "keys", F.col("approx_pos") - base))
-    at = F.when(F.col("i") < F.size("keys"), base + F.col("i"))
-    same = F.coalesce(F.get("keys", F.col("i").cast("int")) == F.col("key"), F.lit(False))
-    out = got.groupBy("key").agg(F.coalesce(F.min(at), F.max(base + F.size("keys"))).alias("pos"), F.max(same).alias("found"))
-    if index.model.n:
-        return out
-    return probes.select("key").where("key is not null").distinct().select("key", F.lit(0).cast("long").alias("pos"), F.lit(False).alias("found"))
 
+def learned_semi(outer: DataFrame, positioned: DataFrame, index: Index, search: str = "binary") -> DataFrame:
+    """Rows of outer whose key is in the table, by looking its different keys up through the index.
 
-def learned_semi(outer: DataFrame, positioned: DataFrame, index: Index, block: int = 256) -> DataFrame:
-    """Rows of outer whose key is in the table, by index lookup and an equi-join on (block, key)."""
+    A plain semi join moves both sides once and is the faster form wherever the table isn't indexed already; see the README.
+    """
     if index.model is None:
         return outer.join(positioned.select("key"), "key", "left_semi")
-    keys = with_bounds(outer.select("key").where("key is not null").distinct(), index)
-    keys = keys.withColumn("block", F.explode(F.sequence(F.expr(f"lower div {block}"), F.expr(f"(upper - 1) div {block}"))))
-    held = positioned.select("key", F.expr(f"pos div {block}").alias("block"))
-    hit = keys.join(held, ["block", "key"], "left_semi").select("key")  # a key is in at most the blocks of its equal rows
-    return outer.join(hit.distinct(), "key", "left_semi")
+    hit = find(positioned, outer, index, search).where("found").select("key")
+    return outer.join(hit, "key", "left_semi")

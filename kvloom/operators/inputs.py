@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .positions import with_position
+
 #: Fixed by the key-file format: the all-ones key ends a file.
 SENTINEL = (1 << 64) - 1
 
@@ -26,17 +28,23 @@ def sorted_keys(source: DataFrame, fraction: int = 1, key: str = "key", seed: in
 
 
 def shuffled_keys(source: DataFrame, fraction: int = 1, key: str = "key", seed: int = 1) -> DataFrame:
-    """Source without its last key, in a random order, the first n / fraction rows; repeated keys stay."""
+    """Source without its last key, in a random order, the first n / fraction rows; repeated keys stay.
+
+    The order is that of MD5 values of seed and key. It is cut into ranges, and rows are taken by their place in it, so no
+    task holds more than its range.
+    """
     given = source.where(F.col(key).isNotNull())
     at = given.agg(F.count("*").alias("n"), F.max(key).alias("last")).first()
     if not at["n"]:
         return as_pairs(given, key)
     last = given.where(F.col(key) == F.lit(at["last"])).count()
-    rest = given.where(F.col(key) != F.lit(at["last"]))
+    rest = given.where(F.col(key) != F.lit(at["last"])).select(key)
     if last > 1:  # one of the rows with the last key goes
-        rest = rest.union(given.where(F.col(key) == F.lit(at["last"])).limit(last - 1))
+        rest = rest.union(given.sparkSession.range(last - 1).select(F.lit(at["last"]).cast(given.schema[key].dataType).alias(key)))
     n = min(at["n"] // fraction, at["n"] - 1)
-    return as_pairs(rest.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n), key)
+    text = F.hex(key) if given.schema[key].dataType.typeName() == "binary" else F.col(key).cast("string")
+    mixed = rest.withColumn("__mix", F.md5(F.concat(F.lit(f"{seed}|"), text)))
+    return as_pairs(with_position(mixed, "__mix", key, name="__at").where(F.col("__at") < n), key)
 
 
 def random_strings(spark: SparkSession, n: int, salt: str = "") -> DataFrame:

@@ -1,27 +1,124 @@
 """Joins that are co-partitioned by a model of the keys' distribution, and statistics of its buckets.
 
-A bucket is a function of the key alone, so a join on (bucket, key) is right for any model; the model only evens out
-the partitions.
+The cut points of the buckets come from an approximate summary of all keys. Rows of both sides go to the partition of their
+bucket in one exchange (the number of the partition is the bucket's, not a hash), are sorted there, and meet in one pass over
+each partition. Rows whose key is outside of what their bucket holds on the other side are dropped before they move.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import first_of_key
+
 
 def quantile_cuts(df: DataFrame, buckets: int, key: str = "key", accuracy: int = 10_000) -> list:
-    """buckets - 1 cut points from an approximate, mergeable summary of all keys."""
+    """At most buckets - 1 cut points from an approximate, mergeable summary of all keys."""
+    return sorted(set(_quantiles(df, buckets, key, accuracy)))
+
+
+def _quantiles(df: DataFrame, buckets: int, key: str, accuracy: int = 10_000) -> list:
     if buckets < 2:
         return []
     at = [i / buckets for i in range(1, buckets)]
-    got = df.agg(F.percentile_approx(key, at, accuracy).alias("q")).first()["q"]
-    return sorted(set(got or []))
+    return sorted(df.agg(F.percentile_approx(key, at, accuracy).alias("q")).first()["q"] or [])
 
 
 def cdf_bucket(key: Column, cuts: list) -> Column:
-    """How many cut points are at or below the key."""
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= key)) if cuts else F.lit(0)
+    """How many cut points are at or below the key, by halves."""
+    if not cuts:
+        return F.lit(0)
+
+    def within(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key >= F.lit(cuts[mid]), within(mid + 1, hi)).otherwise(within(lo, mid))
+
+    return within(0, len(cuts))
+
+
+@dataclass
+class Buckets:
+    """Cut points, and how many partitions each bucket has: more than one where a single key holds several quantiles."""
+
+    cuts: list
+    width: list[int]
+
+    @classmethod
+    def of(cls, df: DataFrame, buckets: int, key: str = "key", spread: bool = True) -> Buckets:
+        got = _quantiles(df, buckets, key)
+        cuts = sorted(set(got))
+        return cls(cuts, [1] + [got.count(c) if spread else 1 for c in cuts])
+
+    @property
+    def parts(self) -> int:
+        return sum(self.width)
+
+    def first(self, bucket: Column) -> Column:
+        """The first partition of a bucket."""
+        return F.element_at(F.lit([int(x) for x in np.cumsum([0, *self.width[:-1]])]), bucket + 1)
+
+    def widths(self, bucket: Column) -> Column:
+        return F.element_at(F.lit([int(x) for x in self.width]), bucket + 1)
+
+
+def _within_buckets(df: DataFrame, other: DataFrame, buckets: Buckets, key: str) -> DataFrame:
+    """Rows of df with a key that lies between the least and greatest key of its bucket in other."""
+    per = other.groupBy(cdf_bucket(F.col(key), buckets.cuts).alias("__b")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    held = {r["__b"]: (r["lo"], r["hi"]) for r in per.where("lo is not null").collect()}  # one row a bucket
+    inside = None
+    for b, (lo, hi) in sorted(held.items()):
+        one = (F.col("__b") == b) & F.col(key).between(F.lit(lo), F.lit(hi))
+        inside = one if inside is None else inside | one
+    given = df.withColumn("__b", cdf_bucket(F.col(key), buckets.cuts))
+    return given.where(inside if inside is not None else F.lit(False))
+
+
+def _meet(outer: DataFrame, inner: DataFrame, buckets: Buckets, key: str, carried: str | None) -> DataFrame:
+    """Rows of outer whose key is in inner (distinct keys), in key order within buckets; with inner's column `carried`, if named."""
+    columns = outer.columns
+    left = _within_buckets(outer.where(F.col(key).isNotNull()), inner, buckets, key)
+    right = _within_buckets(inner.where(F.col(key).isNotNull()), outer, buckets, key)
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), buckets.widths(F.col("__b")).cast("long")).cast("int")
+    held = outer.schema[carried].dataType if carried in columns else inner.schema[carried].dataType if carried else "int"
+    left = left.select(*columns, F.lit(None).cast(held).alias("__held"), F.lit(1).alias("__src"), (buckets.first(F.col("__b")) + spread).alias("__p"))
+    copies = F.explode(F.sequence(F.lit(0), buckets.widths(F.col("__b")) - 1))
+    right = right.select(*[F.col(key) if c == key else F.lit(None).cast(outer.schema[c].dataType).alias(c) for c in columns], (F.col(carried) if carried else F.lit(None).cast("int")).cast(held).alias("__held"), F.lit(0).alias("__src"), "__b", copies.alias("__copy"))
+    right = right.select(*columns, "__held", "__src", (buckets.first(F.col("__b")) + F.col("__copy")).alias("__p"))
+    both = left.union(right).repartitionById(buckets.parts, F.col("__p").cast("int")).sortWithinPartitions(key, "__src")
+    k, n = columns.index(key), len(columns)
+
+    def once(batches):
+        last_key = last_held = None  # of the inner row before this batch
+        for b in batches:
+            if not b.num_rows:
+                continue
+            src, keys = b.column(n + 1).to_numpy(), b.column(k)
+            at = np.maximum.accumulate(np.where(src == 0, np.arange(len(src)), -1))
+            inner_at = pa.array(np.maximum(at, 0))
+            match = pc.fill_null(pc.equal(keys, keys.take(inner_at)), False).to_numpy(zero_copy_only=False) & (at >= 0)
+            held = b.column(n).take(inner_at)
+            before = at < 0
+            if before.any() and last_key is not None:
+                match |= before & pc.fill_null(pc.equal(keys, last_key), False).to_numpy(zero_copy_only=False)
+                held = pc.if_else(pa.array(before), last_held, held)
+            match = pa.array(match & (src == 1))
+            if at[-1] >= 0:
+                last_key, last_held = keys[int(at[-1])], b.column(n)[int(at[-1])]
+            out = [c.filter(match) for c in b.columns[:n]] + ([held.filter(match)] if carried else [])
+            yield pa.RecordBatch.from_arrays(out, [*columns, "__held"] if carried else columns)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in outer.schema.fields)
+    if carried:
+        kinds += ", __held " + (held if isinstance(held, str) else held.simpleString())
+    return both.drop("__p").mapInArrow(once, kinds)
 
 
 def even_bucket(key: Column, buckets: int, least: int, most: int) -> Column:
@@ -30,11 +127,19 @@ def even_bucket(key: Column, buckets: int, least: int, most: int) -> Column:
     return F.least(F.greatest(line, F.lit(0)), F.lit(buckets - 1)).cast("long")
 
 
-def bucketed_semi(outer: DataFrame, inner: DataFrame, cuts: list, key: str = "key") -> DataFrame:
-    """Rows of outer whose key is in inner, co-partitioned by (bucket, key)."""
-    left = outer.withColumn("__bucket", cdf_bucket(F.col(key), cuts))
-    right = inner.select(key).withColumn("__bucket", cdf_bucket(F.col(key), cuts))
-    return left.join(right, ["__bucket", key], "left_semi").select(*outer.columns)
+def bucketed_semi(outer: DataFrame, inner: DataFrame, buckets: Buckets, key: str = "key") -> DataFrame:
+    """Rows of outer whose key is in inner, joined in the partitions of the buckets. Null keys match nothing."""
+    return _meet(outer, inner.select(key).distinct(), buckets, key, None)
+
+
+def bucketed_first_match(outer: DataFrame, inner: DataFrame, buckets: Buckets, key: str = "key", value: str = "value", order: str | None = None) -> DataFrame:
+    """For each outer row with a match its first inner row, in key order over all partitions.
+
+    Outer rows are counted by key first, so a hot key is one row until the end; buckets must not be spread.
+    """
+    counted = outer.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
+    met = _meet(counted, first_of_key(inner, key, value, order), buckets, key, value)
+    return met.select(key, F.col("__held").alias(value), F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("__i")).drop("__i")
 
 
 def bucket_stats(df: DataFrame, bucket: Column, key: str = "key") -> DataFrame:

@@ -74,3 +74,8 @@ def lower_bound(keys: DataFrame, probes: DataFrame, key: str = "key", parts: int
 def window_slice(positioned: DataFrame, lo: int, hi: int) -> DataFrame:
     """Rows at positions lo <= pos < hi; over Parquet sorted by pos, row groups outside are skipped."""
     return positioned.where((F.col("pos") >= lo) & (F.col("pos") < hi))
+
+
+def rows_at(positioned: DataFrame, wanted: DataFrame, name: str = "pos") -> DataFrame:
+    """The rows at the positions that wanted (a column of that name) holds, once for each time; positions outside give none."""
+    return wanted.select(name).join(positioned, name).select(*positioned.columns)

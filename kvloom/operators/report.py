@@ -31,12 +31,26 @@ def by_substring(c: Column, names: list[str], other: str) -> Column:
     return out.otherwise(other) if out is not None else F.lit(other)
 
 
+def _mark(mark: str) -> str:
+    return "".join(c if c.isalnum() or c.isspace() else "\\" + c for c in mark)
+
+
 def head(c: Column, mark: str) -> Column:
-    return F.split(c, mark)[0]
+    """What comes before the first mark (taken as it is, not as a pattern)."""
+    return F.split(c, _mark(mark))[0]
 
 
 def tail(c: Column, mark: str) -> Column:
-    return F.element_at(F.split(c, mark), -1)
+    """What comes after the last mark."""
+    return F.element_at(F.split(c, _mark(mark)), -1)
+
+
+def fixed_up(c: Column, wrong: dict[str, str]) -> Column:
+    """c with the values that wrong names replaced, as names that lost a digit when they were cut."""
+    out = None
+    for a, b in wrong.items():
+        out = F.when(c == a, b) if out is None else out.when(c == a, b)
+    return c if out is None else out.otherwise(c)
 
 
 def medians(df: DataFrame, value: str, *by: str) -> DataFrame:
@@ -60,5 +74,32 @@ def append_rows(df: DataFrame, rows: list[tuple]) -> DataFrame:
     return df.unionByName(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def by_threads(df: DataFrame, value: str, algo: str = "algo", threads: str = "num_threads") -> DataFrame:
+    """Median of a measure by operator and thread count, with the speed-up over one thread."""
+    out = medians(df, value, algo, threads)
+    one = out.where(F.col(threads) == 1).select(F.col(algo).alias("__a"), F.col(f"median_{value}").alias("__one"))
+    return out.join(one, F.col(algo) == F.col("__a"), "left").select(algo, threads, f"median_{value}", (F.col("__one") / F.col(f"median_{value}")).alias("speedup"))
+
+
+def by_epsilon(df: DataFrame, value: str, index: str = "index", epsilon: str = "epsilon") -> DataFrame:
+    """Median of a measure by kind of index and its error."""
+    return medians(df, value, index, epsilon)
+
+
+def by_memory(df: DataFrame, value: str, algo: str = "algo", memory: str = "memory") -> DataFrame:
+    """Median of a measure by operator and memory limit, the limit in MB."""
+    return medians(df.withColumn("memory_mb", F.floor(F.col(memory) / (1 << 20))), value, algo, "memory_mb")
+
+
 def to_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def to_markdown(df: DataFrame, most: int = 1000) -> str:
+    """A table of at most `most` rows as Markdown; more rows are an error, as a report isn't a sample."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    cell = lambda x: "" if x is None else str(x).replace("|", "\\|")
+    lines = [df.columns, ["---"] * len(df.columns), *rows]
+    return "\n".join("| " + " | ".join(cell(x) for x in r) + " |" for r in lines) + "\n"

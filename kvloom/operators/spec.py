@@ -15,6 +15,10 @@ INDEXES = ("pgm", "sampledpgm", "flatpgm", "sampledflatpgm", "btree", "radixspli
 METHODS = ("sosd", "string", "unsorted")
 
 
+#: Rows of 16 bytes in a page of 4096.
+PAGE_ROWS = 256
+
+
 @dataclass(frozen=True)
 class IndexSpec:
     type: str = "pgm"
@@ -22,6 +26,8 @@ class IndexSpec:
     error: int = 128
     sample: int = 1
     leaf_rows: int = 256
+    dataset: str = ""
+    epsilon: int = 0
 
     def __post_init__(self):
         if self.type not in INDEXES:
@@ -40,6 +46,17 @@ class IndexSpec:
             return cls(kind, search, max(1, page // 256), 128)
         return cls(kind, search, max(1, page // 2), 1, page)
 
+    @classmethod
+    def from_dict(cls, d: dict) -> IndexSpec:
+        """type and search; leaf_size_in_pages for the blocks of a btree; dataset and epsilon are kept for reports."""
+        unknown = set(d) - {"type", "search", "leaf_size_in_pages", "dataset", "epsilon"}
+        if unknown:
+            raise ValueError(f"unknown in index: {', '.join(sorted(unknown))}")
+        spec = cls.named(d.get("type", "pgm256"), d.get("search") or "binary")
+        if "leaf_size_in_pages" in d:
+            spec = replace(spec, leaf_rows=PAGE_ROWS * int(d["leaf_size_in_pages"]))
+        return replace(spec, dataset=d.get("dataset", ""), epsilon=int(d.get("epsilon", 0)))
+
 
 @dataclass(frozen=True)
 class OpSpec:
@@ -60,17 +77,22 @@ class OpSpec:
     fraction_of_keys: int = 1
     num_keys: int = 0
     create_indexes: bool = False
+    key_size: int = 8
+    value_size: int = 8
+    algo_name: str = ""
+    outer_index_file: str = ""  # of spilled buckets: Spark spills by itself, so the names are kept and not used
+    inner_index_file: str = ""
     extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
         if self.algo not in ALGOS:
             raise ValueError(f"unknown algo {self.algo!r}; known: {', '.join(ALGOS)}")
-        if self.key_type not in ("uint64", "str"):
+        if self.key_type not in ("uint64", "int64", "str"):
             raise ValueError(f"unknown key_type {self.key_type!r}")
         if self.method not in METHODS:
             raise ValueError(f"unknown method {self.method!r}; known: {', '.join(METHODS)}")
-        if self.num_threads < 1 or self.fraction_of_keys < 1 or self.ratio < 1:
-            raise ValueError("num_threads, fraction_of_keys and ratio are at least 1")
+        if min(self.num_threads, self.fraction_of_keys, self.ratio, self.key_size, self.value_size) < 1:
+            raise ValueError("num_threads, fraction_of_keys, ratio, key_size and value_size are at least 1")
         if self.algo == "create_input":
             if not self.source and not (self.method == "string" and self.num_keys):
                 raise ValueError("create_input needs a source, or num_keys for random strings")
@@ -82,7 +104,7 @@ class OpSpec:
         known = {k: v for k, v in d.items() if k in cls.__dataclass_fields__ and k not in ("index", "extra")}
         index = d.get("index")
         if isinstance(index, dict):
-            index = IndexSpec.named(index.get("type", "pgm256"), index.get("search") or "binary")
+            index = IndexSpec.from_dict(index)
         if "common_key" in d and "ratio" not in known:
             known["ratio"] = d["common_key"]
         if "load_sstable_in_mem" in d:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,15 +13,10 @@ def row_digest(df: DataFrame, *columns: str):
     return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns or df.columns]))
 
 
-def exact_digest(df: DataFrame, *columns: str) -> DataFrame:
-    """digest, n: MD5 over the sorted MD5s of all rows. For results that one task can hold; see folded_digest."""
-    return df.select(row_digest(df, *columns).alias("d")).agg(F.md5(F.array_join(F.sort_array(F.collect_list("d")), "")).alias("digest"), F.count("*").alias("n"))
-
-
 def folded_digest(df: DataFrame, *columns: str) -> DataFrame:
-    """digest, n: sum and exclusive or of row hashes, combined map-side, at any size."""
-    h = F.xxhash64(*[F.col(c) for c in columns or df.columns])
-    return df.select(h.alias("h")).agg(F.concat_ws(":", F.hex(F.bit_xor("h")), F.sum(F.col("h").cast("decimal(38,0)")).cast("string")).alias("digest"), F.count("*").alias("n"))
+    """digest, n: sum and exclusive or of the rows' MD5 values (their first 60 bits), combined map-side, at any size and order."""
+    h = F.conv(F.substring(row_digest(df, *columns), 1, 15), 16, 10).cast("long")
+    return df.select(h.alias("h")).agg(F.concat_ws(":", F.coalesce(F.bit_xor("h"), F.lit(0)).cast("string"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("string")).alias("digest"), F.count("*").alias("n"))
 
 
 def key_counts(df: DataFrame, key: str = "key") -> DataFrame:
@@ -42,3 +37,18 @@ def timed(df: DataFrame) -> dict:
     df.observe(watch, seen).write.format("noop").mode("overwrite").save()
     took = time.perf_counter_ns() - start
     return {"duration_ns": took, "duration_sec": took / 1e9, "num_output_keys": watch.get["n"]}
+
+
+_COUNTERS = ("inputBytes", "inputRecords", "outputBytes", "outputRecords", "shuffleReadBytes", "shuffleWriteBytes", "memoryBytesSpilled", "diskBytesSpilled")
+
+
+def io_counters(spark: SparkSession) -> dict[str, int]:
+    """Bytes and rows that all stages of the application have read, written, shuffled and spilled so far."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    total, each = dict.fromkeys(_COUNTERS, 0), stages.iterator()
+    while each.hasNext():
+        stage = each.next()
+        for c in _COUNTERS:
+            total[c] += getattr(stage, c)()
+    return total

@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvloom.functions.search import key_point
+from kvloom.functions.search import from_ordered, key_point, ordered_long
 from kvloom.operators import indexes, inputs, joins, learned, merge, report, verify
-from kvloom.operators.positions import lower_bound, window_slice, with_position
+from kvloom.operators.positions import lower_bound, rows_at, window_slice, with_position
 from kvloom.operators.spec import IndexSpec, expand
 from kvloom.shipping import ship
 from kvloom.sources.views import pairs
@@ -40,6 +40,10 @@ def oracle_sql() -> dict[str, str]:
     return dict(_sql)
 
 
+def _parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 class Sides:
     """The tables of a folder as pairs."""
 
@@ -93,7 +97,7 @@ def join_inlj(spark, d):
 @_query(SEMI)
 def join_unsorted_lsj(spark, d):
     s = Sides(spark, d)
-    return learned.bucketed_semi(s.lines, s.orders_f, learned.quantile_cuts(s.orders_f, 16))
+    return learned.bucketed_semi(s.lines, s.orders_f, learned.Buckets.of(s.lines, _parts(spark)))
 
 
 @_query(SEMI)
@@ -129,7 +133,7 @@ def join_hash(spark, d):
 @_query(FIRST + " ORDER BY 1, 2")
 def join_unsorted_lsj_sorted_output(spark, d):
     s = Sides(spark, d)
-    return joins.sorted_output(joins.first_match_sort(s.orders, s.lines))
+    return learned.bucketed_first_match(s.orders, s.lines, learned.Buckets.of(s.orders, _parts(spark), spread=False))
 
 
 @_query(FIRST + " ORDER BY 1, 2")
@@ -171,15 +175,37 @@ def merge_learned(spark, d):
     return merge.merge_by_position(s.orders_f, s.lines)
 
 
+MERGED = f"SELECT key, value, src, row_number() OVER (ORDER BY key, src DESC, value) - 1 AS pos FROM (SELECT key, value, 0 AS src FROM {INNER} UNION ALL SELECT key, value, 1 FROM {LINES})"
+
+
+def _merge_by(name: str):
+    def q(spark, d):
+        s = Sides(spark, d)
+        return merge.merge_by_index(s.orders_f, s.lines, IndexSpec.named(name))
+
+    return q
+
+
+for _name in ("flatpgm256", "sampledflatpgm256", "btree4096"):
+    _query(MERGED, f"merge_learned_{_name}")(_merge_by(_name))
+
+
 @_query(f"SELECT DISTINCT key FROM {LINES}")
 def dedup_keys(spark, d):
     return merge.drop_repeats(Sides(spark, d).lines).select("key")
 
 
-@_query(f"SELECT key FROM {INNER} UNION SELECT key FROM {LINES} WHERE key % 7 = 0")
+@_query(f"SELECT key FROM {INNER} UNION SELECT key FROM {LINES}")
 def key_set_union(spark, d):
     s = Sides(spark, d)
-    return merge.key_union(s.orders_f, s.lines.where("key % 7 = 0"))
+    return merge.key_union(s.orders_f, s.lines)
+
+
+@_query(f"WITH p AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS pos FROM {MICROS}) SELECT p.key, p.pos FROM p JOIN lineitem ON l_orderkey = pos")
+def rows_by_position(spark, d):
+    """Rows of the sorted event times at the positions that lines name, as often as they name them."""
+    s = Sides(spark, d)
+    return rows_at(with_position(s.micros, "key"), s.lines.select(F.col("key").alias("pos")))
 
 
 # positions, blocks, search
@@ -220,7 +246,7 @@ def _lookup(name: str, search: str):
     return q
 
 
-for _name, _search in (("pgm256", "binary"), ("flatpgm256", "exponential"), ("sampledpgm256", "linear"), ("sampledflatpgm256", "binary"), ("sampledflatpgm1024", "exponential"), ("btree256", "binary"), ("radixspline256", "exponential"), ("rmi", "binary")):
+for _name, _search in (("pgm256", "binary"), ("flatpgm256", "exponential"), ("sampledpgm256", "linear"), ("sampledflatpgm256", "binary"), ("sampledflatpgm1024", "exponential"), ("btree256", "binary"), ("radixspline256", "exponential"), ("rmi", "binary"), ("pgm1024", "exponential"), ("pgm4096", "binary"), ("flatpgm1024", "binary"), ("flatpgm4096", "linear"), ("sampledpgm1024", "binary"), ("sampledpgm4096", "exponential"), ("sampledflatpgm4096", "binary"), ("radixspline1024", "binary"), ("radixspline4096", "exponential"), ("btree4096", "linear")):
     _query(FOUND, f"lookup_{_name}_{_search}")(_lookup(_name, _search))
 
 
@@ -229,15 +255,30 @@ def lookup_alex(spark, d):
     return _lookup("alex", "binary")(spark, d).select("key", "found")
 
 
-@_query(f"SELECT count(*) AS outside FROM {MICROS} WHERE false")
+_BOUNDED = ("pgm256", "flatpgm1024", "sampledflatpgm256", "sampledpgm1024", "radixspline256", "rmi", "btree256")
+
+
+@_query(f"SELECT name AS index_name, count(*) AS inside, CAST(sum(pos) AS BIGINT) AS places FROM (SELECT key, row_number() OVER (ORDER BY key) - 1 AS pos FROM {MICROS}), (VALUES {', '.join(f"('{x}')" for x in _BOUNDED)}) t(name) GROUP BY 1")
 def index_bounds_hold(spark, d):
-    """How many members have their position outside the bounds of any learned index: none."""
-    positioned = with_position(Sides(spark, d).micros, "key").cache()
-    bad = None
-    for name in ("pgm256", "flatpgm1024", "sampledflatpgm256", "sampledpgm1024", "radixspline256", "rmi", "btree256"):
-        at = indexes.with_bounds(positioned, indexes.build(positioned, IndexSpec.named(name))).where("pos < lower or pos >= upper").select("key")
-        bad = at if bad is None else bad.union(at)
-    return bad.agg(F.count("*").alias("outside"))
+    """For each index, how many members have their position inside its bounds, and the sum of these positions."""
+    positioned = with_position(Sides(spark, d).micros, "key")
+    found = None
+    for name in _BOUNDED:
+        inside = indexes.with_bounds(positioned, indexes.build(positioned, IndexSpec.named(name))).where("pos >= lower and pos < upper")
+        one = inside.agg(F.lit(name).alias("index_name"), F.count("*").alias("inside"), F.sum("pos").alias("places"))
+        found = one if found is None else found.union(one)
+    return found
+
+
+@_query(f"WITH m AS (SELECT CAST(l_orderkey AS HUGEINT) + 9223372036854775000 AS key FROM lineitem GROUP BY 1), r AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS pos FROM m), p AS (SELECT CAST(o_orderkey AS HUGEINT) + 9223372036854775000 AS key FROM orders) SELECT CAST(p.key AS VARCHAR) AS key, coalesce(r.pos, (SELECT count(*) FROM m)) AS pos, coalesce(r.key = p.key, false) AS found FROM p ASOF LEFT JOIN r ON p.key <= r.key")
+def lookup_unsigned_keys(spark, d):
+    """Keys on both sides of 2**63 through an index, as longs in their order."""
+    s = Sides(spark, d)
+    big = lambda t: t.select((F.col("key").cast("decimal(20,0)") + F.lit("9223372036854775000").cast("decimal(20,0)")).cast("decimal(20,0)").alias("key"))
+    keys, probes = (big(t).select(ordered_long(F.col("key")).alias("key")) for t in (s.lines.select("key").distinct(), s.orders))
+    positioned = with_position(keys, "key")
+    got = indexes.find(positioned, probes, indexes.build(positioned, IndexSpec.named("pgm256")))
+    return got.select(from_ordered(F.col("key")).cast("string").alias("key"), "pos", "found")
 
 
 # learned joins and buckets
@@ -295,12 +336,14 @@ def input_sample(spark, d):
     return inputs.sorted_keys(Sides(spark, d).lines, 10)
 
 
-@_query(f"SELECT count(*) // 10 AS n, count(*) // 10 AS within FROM {LINES}")
+@_query(f"""
+WITH k AS (SELECT key, row_number() OVER (ORDER BY key DESC) AS last FROM {LINES}),
+m AS (SELECT key, row_number() OVER (ORDER BY md5('1|' || key), key) - 1 AS at FROM k WHERE last > 1)
+SELECT key, key AS value FROM m WHERE at < (SELECT count(*) // 10 FROM k)
+""")
 def input_unsorted(spark, d):
-    """Rows of a shuffled tenth, and how many of them are rows of the source."""
-    s = Sides(spark, d)
-    got = inputs.shuffled_keys(s.lines, 10)
-    return joins.semi_outer(got, s.lines).agg(F.count("*").alias("within")).select(F.col("within").alias("n"), "within")
+    """A tenth of the lines' keys in a random order, repeated keys with them, without the last key."""
+    return inputs.shuffled_keys(Sides(spark, d).lines, 10)
 
 
 @_query("SELECT upper(md5(CAST(i AS VARCHAR))) AS key, upper(md5(CAST(i AS VARCHAR))) AS value FROM range(1000) t(i)")
@@ -333,19 +376,26 @@ def join_unsigned_keys(spark, d):
 # digests, counts, ranges
 
 
-@_query(f"SELECT md5(string_agg(d, '' ORDER BY d)) AS digest, count(*) AS n FROM (SELECT md5(key::VARCHAR || '|' || value::VARCHAR) AS d FROM ({SEMI}))")
+_DIGEST = "CAST(bit_xor(h) AS VARCHAR) || ':' || CAST(sum(CAST(h AS HUGEINT)) AS VARCHAR) AS digest, count(*) AS n"
+_HASHED = f"(SELECT CAST('0x' || substr(md5(key::VARCHAR || '|' || value::VARCHAR), 1, 15) AS BIGINT) AS h FROM ({SEMI}))"
+
+
+@_query(f"SELECT {_DIGEST} FROM {_HASHED}")
 def result_digest(spark, d):
-    return verify.exact_digest(join_lsj(spark, d), "key", "value")
+    return verify.folded_digest(join_lsj(spark, d), "key", "value")
+
 
+_FORMS = ("join_lsj", "join_inlj", "join_unsorted_lsj", "join_alex", "join_learned_index", "join_block_index")
 
-@_query("SELECT true AS same")
+
+@_query(f"SELECT form, digest, n FROM (SELECT {_DIGEST} FROM {_HASHED}), (VALUES {', '.join(f"('{x}')" for x in _FORMS)}) t(form)")
 def join_forms_agree(spark, d):
-    """Whether all ways to the outer rows have one digest."""
+    """The digest that each way to the outer rows has."""
     found = None
-    for f in (join_lsj, join_inlj, join_unsorted_lsj, join_alex, join_learned_index, join_block_index):
-        one = verify.folded_digest(f(spark, d).select("key", "value"))
+    for form in _FORMS:
+        one = verify.folded_digest(_queries[form](spark, d).select("key", "value")).select(F.lit(form).alias("form"), "digest", "n")
         found = one if found is None else found.union(one)
-    return found.agg((F.count_distinct("digest", "n") == 1).alias("same"))
+    return found
 
 
 @_query("SELECT l_orderkey AS key, count(*) AS n FROM lineitem GROUP BY 1")
@@ -420,3 +470,27 @@ def spec_expansion(spark, d):
     return spark.createDataFrame(rows, "algo string, index string, ratio int, threads int, repeat int")
 
 
+
+
+@_query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN '1-NOW' WHEN '5-LOW' THEN '5-LATER' ELSE o_orderpriority END AS priority FROM orders")
+def report_fixed_up(spark, d):
+    return Sides(spark, d).read("orders").select("o_orderkey", report.fixed_up(F.col("o_orderpriority"), {"1-URGENT": "1-NOW", "5-LOW": "5-LATER"}).alias("priority"))
+
+
+@_query("WITH m AS (SELECT l_shipmode AS algo, l_linenumber AS num_threads, median(l_extendedprice) AS m FROM lineitem GROUP BY 1, 2) SELECT algo, num_threads, m.m AS median_price, round(o.m / m.m, 9) AS speedup FROM m LEFT JOIN (SELECT algo, m FROM m WHERE num_threads = 1) o USING (algo)")
+def report_by_threads(spark, d):
+    """Lines as if they were runs: ship modes as operators, line numbers as thread counts."""
+    runs = Sides(spark, d).read("lineitem").select(F.col("l_shipmode").alias("algo"), F.col("l_linenumber").alias("num_threads"), F.col("l_extendedprice").alias("price"))
+    return report.by_threads(runs, "price").withColumn("speedup", F.round("speedup", 9))
+
+
+@_query("SELECT l_shipmode AS \"index\", l_linenumber AS epsilon, median(l_extendedprice) AS median_price FROM lineitem GROUP BY 1, 2")
+def report_by_epsilon(spark, d):
+    runs = Sides(spark, d).read("lineitem").select(F.col("l_shipmode").alias("index"), F.col("l_linenumber").alias("epsilon"), F.col("l_extendedprice").alias("price"))
+    return report.by_epsilon(runs, "price")
+
+
+@_query("SELECT l_shipmode AS algo, (l_partkey * 4096) // 1048576 AS memory_mb, median(l_extendedprice) AS median_price FROM lineitem GROUP BY 1, 2")
+def report_by_memory(spark, d):
+    runs = Sides(spark, d).read("lineitem").select(F.col("l_shipmode").alias("algo"), (F.col("l_partkey") * 4096).alias("memory"), F.col("l_extendedprice").alias("price"))
+    return report.by_memory(runs, "price")

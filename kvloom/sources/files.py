@@ -12,7 +12,7 @@ import struct
 import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import BinaryType, DecimalType, LongType, StructField, StructType
 
 PART_BYTES = 64 << 20
@@ -128,20 +128,41 @@ class Done(WriterCommitMessage):
     rows: int
 
 
-class _Writer(DataSourceWriter):
+def _rows(column, size: int, what: str):
+    """A column as a matrix of bytes, `size` wide: binary values as they are, numbers as unsigned little-endian."""
+    import numpy as np
+    import pyarrow as pa
+
+    if column.null_count:
+        raise ValueError("a table of fixed widths can't hold nulls")
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        column = column.cast(pa.binary())
+        widths = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]) if len(column) else np.empty(0, int)
+        if (widths != size).any():
+            raise ValueError(f"a {what} has {int(widths[widths != size][0])} bytes, not {size}")
+        first = int(np.frombuffer(column.buffers()[1], np.int32)[column.offset]) if len(column) else 0
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[first : first + len(column) * size]
+        return data.reshape(len(column), size)
+    if pa.types.is_decimal(column.type):
+        numbers = column.cast(pa.decimal128(20, 0)).cast(pa.uint64()).to_numpy(zero_copy_only=False)
+    else:
+        numbers = column.cast(pa.int64()).to_numpy(zero_copy_only=False)
+        if (numbers < 0).any():
+            raise ValueError(f"a {what} is negative")
+    raw = np.ascontiguousarray(numbers).astype("<u8").view(np.uint8).reshape(len(numbers), 8)
+    if size < 8 and raw[:, size:].any():
+        raise ValueError(f"a {what} needs more than {size} bytes")
+    return np.concatenate((raw, np.zeros((len(raw), size - 8), np.uint8)), axis=1) if size > 8 else raw[:, :size]
+
+
+class _Writer(DataSourceArrowWriter):
+    """Writes runs of rows as they come, a batch at a time; one file a task."""
+
     def __init__(self, path, key_size, value_size, key_only):
         self.path, self.key_size, self.value_size, self.key_only = path.rstrip("/"), key_size, value_size, key_only
 
-    def _bytes(self, v, size):
-        if isinstance(v, (bytes, bytearray)):
-            if len(v) != size:
-                raise ValueError(f"a value has {len(v)} bytes, not {size}")
-            return bytes(v)
-        if v is None:
-            raise ValueError("a table of fixed widths can't hold nulls")
-        return int(v).to_bytes(size, "little")
-
-    def write(self, rows):
+    def write(self, batches):
+        import numpy as np
         from pyspark import TaskContext
 
         task = TaskContext.get()
@@ -150,9 +171,12 @@ class _Writer(DataSourceWriter):
         store.create_dir(_store(self.path)[1], recursive=True)
         # the header holds the count: rows wait in a scratch file of this task until it is known
         with tempfile.TemporaryFile() as scratch:
-            for r in rows:
-                scratch.write(self._bytes(r["key"], self.key_size) + (b"" if self.key_only else self._bytes(r["value"], self.value_size)))
-                n += 1
+            for b in batches:
+                parts = [_rows(b.column(b.schema.get_field_index("key")), self.key_size, "key")]
+                if not self.key_only:
+                    parts.append(_rows(b.column(b.schema.get_field_index("value")), self.value_size, "value"))
+                scratch.write(np.concatenate(parts, axis=1).tobytes())
+                n += b.num_rows
             scratch.seek(0)
             with store.open_output_stream(at) as out:
                 out.write(KEYFILE_HEADER.pack(n) if self.key_only else TABLE_HEADER.pack(n, self.key_size, self.value_size))
@@ -215,6 +239,18 @@ class KvTable(DataSource):
 
 
 
+def to_single_file(path: str) -> None:
+    """Put the only part of a written folder in the folder's place."""
+    parts = [p for p in _files(path)]
+    if len(parts) != 1:
+        raise ValueError(f"{path} has {len(parts)} parts, not one")
+    store, at = _store(path)
+    aside = at.rstrip("/") + ".single"
+    store.move(_store(parts[0])[1], aside)
+    store.delete_dir(at)
+    store.move(aside, at)
+
+
 def register(spark) -> None:
     """Make both formats known to the session."""
     spark.dataSource.register(KeyFile)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import register
+from .files import register, to_single_file
 
 
 def pairs(df: DataFrame, key: str | Column, value: str | Column) -> DataFrame:
@@ -15,8 +15,12 @@ def pairs(df: DataFrame, key: str | Column, value: str | Column) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, key_type: str = "uint64", load_in_mem: bool = False) -> DataFrame:
-    """A table of key and value: a Parquet path, or a binary table (.kv) or key file (.keys, with value equal to key)."""
-    kind = "binary" if key_type == "str" else "long"
+    """A table of key and value: a Parquet path, or a binary table (.kv) or key file (.keys, with value equal to key).
+
+    Unsigned keys of binary files are decimals, so that keys from 2**63 on keep their value and order ("int64" reads them as
+    longs, and fails on such a key).
+    """
+    kind = {"str": "binary", "int64": "long"}.get(key_type, "uint64")
     if path.rstrip("/").endswith((".kv", ".keys")):
         register(spark)
         df = spark.read.format("kvtable" if path.rstrip("/").endswith(".kv") else "keyfile").option("keyType", kind).load(path)
@@ -26,10 +30,14 @@ def read_table(spark: SparkSession, path: str, key_type: str = "uint64", load_in
     return df.cache() if load_in_mem else df
 
 
-def write_table(df: DataFrame, path: str, key_size: int = 8, value_size: int = 8) -> None:
+def write_table(df: DataFrame, path: str, key_size: int = 8, value_size: int = 8, single: bool = False) -> None:
+    """df as a table at path; single: by one task, and for a binary table as one file instead of a folder of parts."""
+    df = df.coalesce(1) if single else df
     if path.rstrip("/").endswith(".kv"):
         register(df.sparkSession)
         df.select("key", "value").write.format("kvtable").mode("overwrite").option("keySize", key_size).option("valueSize", value_size).save(path)
+        if single:
+            to_single_file(path)
     else:
         df.write.mode("overwrite").parquet(path)
 
