@@ -338,8 +338,8 @@ def input_sample(spark, d):
 
 @_query(f"""
 WITH k AS (SELECT key, row_number() OVER (ORDER BY key DESC) AS last FROM {LINES}),
-m AS (SELECT key, row_number() OVER (ORDER BY md5('1|' || key), key) - 1 AS at FROM k WHERE last > 1)
-SELECT key, key AS value FROM m WHERE at < (SELECT count(*) // 10 FROM k)
+m AS (SELECT key, row_number() OVER (ORDER BY md5('1|' || key), key) - 1 AS place FROM k WHERE last > 1)
+SELECT key, key AS value FROM m WHERE place < (SELECT count(*) // 10 FROM k)
 """)
 def input_unsorted(spark, d):
     """A tenth of the lines' keys in a random order, repeated keys with them, without the last key."""
@@ -477,20 +477,20 @@ def report_fixed_up(spark, d):
     return Sides(spark, d).read("orders").select("o_orderkey", report.fixed_up(F.col("o_orderpriority"), {"1-URGENT": "1-NOW", "5-LOW": "5-LATER"}).alias("priority"))
 
 
-@_query("WITH m AS (SELECT l_shipmode AS algo, l_linenumber AS num_threads, median(l_extendedprice) AS m FROM lineitem GROUP BY 1, 2) SELECT algo, num_threads, m.m AS median_price, round(o.m / m.m, 9) AS speedup FROM m LEFT JOIN (SELECT algo, m FROM m WHERE num_threads = 1) o USING (algo)")
+@_query("WITH m AS (SELECT l_returnflag AS algo, l_linenumber AS num_threads, median(l_extendedprice) AS m FROM lineitem GROUP BY 1, 2) SELECT algo, num_threads, m.m AS median_price, round(o.m / m.m, 9) AS speedup FROM m LEFT JOIN (SELECT algo, m FROM m WHERE num_threads = 1) o USING (algo)")
 def report_by_threads(spark, d):
     """Lines as if they were runs: ship modes as operators, line numbers as thread counts."""
-    runs = Sides(spark, d).read("lineitem").select(F.col("l_shipmode").alias("algo"), F.col("l_linenumber").alias("num_threads"), F.col("l_extendedprice").alias("price"))
+    runs = Sides(spark, d).read("lineitem").select(F.col("l_returnflag").alias("algo"), F.col("l_linenumber").alias("num_threads"), F.col("l_extendedprice").alias("price"))
     return report.by_threads(runs, "price").withColumn("speedup", F.round("speedup", 9))
 
 
-@_query("SELECT l_shipmode AS \"index\", l_linenumber AS epsilon, median(l_extendedprice) AS median_price FROM lineitem GROUP BY 1, 2")
+@_query("SELECT l_returnflag AS \"index\", l_linenumber AS epsilon, median(l_extendedprice) AS median_price FROM lineitem GROUP BY 1, 2")
 def report_by_epsilon(spark, d):
-    runs = Sides(spark, d).read("lineitem").select(F.col("l_shipmode").alias("index"), F.col("l_linenumber").alias("epsilon"), F.col("l_extendedprice").alias("price"))
+    runs = Sides(spark, d).read("lineitem").select(F.col("l_returnflag").alias("index"), F.col("l_linenumber").alias("epsilon"), F.col("l_extendedprice").alias("price"))
     return report.by_epsilon(runs, "price")
 
 
-@_query("SELECT l_shipmode AS algo, (l_partkey * 4096) // 1048576 AS memory_mb, median(l_extendedprice) AS median_price FROM lineitem GROUP BY 1, 2")
+@_query("SELECT l_returnflag AS algo, (l_partkey * 4096) // 1048576 AS memory_mb, median(l_extendedprice) AS median_price FROM lineitem GROUP BY 1, 2")
 def report_by_memory(spark, d):
-    runs = Sides(spark, d).read("lineitem").select(F.col("l_shipmode").alias("algo"), (F.col("l_partkey") * 4096).alias("memory"), F.col("l_extendedprice").alias("price"))
+    runs = Sides(spark, d).read("lineitem").select(F.col("l_returnflag").alias("algo"), (F.col("l_partkey") * 4096).alias("memory"), F.col("l_extendedprice").alias("price"))
     return report.by_memory(runs, "price")
