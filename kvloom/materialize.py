@@ -4,16 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written by checkpoint() to the folder that the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, or that was set for checkpoints.
 
-    A folder of our own is set only where the session has none, as in tests.
+    Only a session within one process gets a folder of its own where none is named; on a cluster that is an error, since
+    other machines wouldn't see it.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kvloom-checkpoint-"))
+    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master or ""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("name a folder that all machines share in spark.checkpoint.dir")
+    return tempfile.mkdtemp(prefix="kvloom-checkpoint-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written by checkpoint() to the shared folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

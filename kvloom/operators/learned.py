@@ -69,7 +69,7 @@ class Buckets:
         return F.element_at(F.lit([int(x) for x in self.width]), bucket + 1)
 
 
-def _within_buckets(df: DataFrame, other: DataFrame, buckets: Buckets, key: str) -> DataFrame:
+def within_buckets(df: DataFrame, other: DataFrame, buckets: Buckets, key: str) -> DataFrame:
     """Rows of df with a key that lies between the least and greatest key of its bucket in other."""
     per = other.groupBy(cdf_bucket(F.col(key), buckets.cuts).alias("__b")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
     held = {r["__b"]: (r["lo"], r["hi"]) for r in per.where("lo is not null").collect()}  # one row a bucket
@@ -84,8 +84,8 @@ def _within_buckets(df: DataFrame, other: DataFrame, buckets: Buckets, key: str)
 def _meet(outer: DataFrame, inner: DataFrame, buckets: Buckets, key: str, carried: str | None) -> DataFrame:
     """Rows of outer whose key is in inner (distinct keys), in key order within buckets; with inner's column `carried`, if named."""
     columns = outer.columns
-    left = _within_buckets(outer.where(F.col(key).isNotNull()), inner, buckets, key)
-    right = _within_buckets(inner.where(F.col(key).isNotNull()), outer, buckets, key)
+    left = within_buckets(outer.where(F.col(key).isNotNull()), inner, buckets, key)
+    right = within_buckets(inner.where(F.col(key).isNotNull()), outer, buckets, key)
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), buckets.widths(F.col("__b")).cast("long")).cast("int")
     held = outer.schema[carried].dataType if carried in columns else inner.schema[carried].dataType if carried else "int"
     left = left.select(*columns, F.lit(None).cast(held).alias("__held"), F.lit(1).alias("__src"), (buckets.first(F.col("__b")) + spread).alias("__p"))

@@ -6,17 +6,21 @@ value l_partkey, many rows a key, unsorted) as outer; `events` by distinct micro
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvloom.functions.search import from_ordered, key_point, ordered_long
+from kvloom.materialize import shared_folder
 from kvloom.operators import indexes, inputs, joins, learned, merge, report, verify
 from kvloom.operators.positions import lower_bound, rows_at, window_slice, with_position
-from kvloom.operators.spec import IndexSpec, expand
+from kvloom.operators.spec import IndexSpec, OpSpec, expand
+from kvloom.plans import runner
 from kvloom.shipping import ship
-from kvloom.sources.views import pairs
+from kvloom.sources.views import pairs, read_table, write_table
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
@@ -494,3 +498,117 @@ def report_by_epsilon(spark, d):
 def report_by_memory(spark, d):
     runs = Sides(spark, d).read("lineitem").select(F.col("l_returnflag").alias("algo"), (F.col("l_partkey") * 4096).alias("memory"), F.col("l_extendedprice").alias("price"))
     return report.by_memory(runs, "price")
+
+
+# tables on disk, and descriptions that are run on them
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all machines share, for tables that a query writes and reads again."""
+    return f"{shared_folder(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
+def _longs(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("long").alias(c) for c in df.columns])
+
+
+@_query(f"SELECT key, value FROM {ORDERS}")
+def table_parts_scan(spark, d):
+    """A binary table, written by all tasks as parts of unknown sizes and read again."""
+    s, path = Sides(spark, d), f"{_folder(spark)}/orders.kv"
+    write_table(s.orders, path)
+    return _longs(read_table(spark, path))
+
+
+@_query(f"SELECT key, value FROM {ORDERS}")
+def table_single_file_scan(spark, d):
+    """A binary table, written by one task as one file and read again in parts."""
+    s, path = Sides(spark, d), f"{_folder(spark)}/orders.kv"
+    write_table(s.orders, path, single=True)
+    return _longs(read_table(spark, path))
+
+
+@_query("SELECT upper(md5(CAST(o_orderkey AS VARCHAR))) AS key, o_custkey AS value FROM orders")
+def table_of_byte_keys_scan(spark, d):
+    """A binary table of 16-byte keys and 8-byte values."""
+    s, path = Sides(spark, d), f"{_folder(spark)}/orders.kv"
+    number = F.unhex(F.lpad(F.hex("value"), 16, "0"))
+    write_table(s.orders.select(F.unhex(F.md5(F.col("key").cast("string"))).alias("key"), number.alias("value")), path, 16, 8)
+    return read_table(spark, path, "str").select(F.hex("key").alias("key"), F.conv(F.hex("value"), 16, 10).cast("long").alias("value"))
+
+
+@_query(f"SELECT key FROM {LINES}")
+def key_file_scan(spark, d):
+    s, path = Sides(spark, d), f"{_folder(spark)}/lines.keys"
+    write_table(s.lines, path)
+    return _longs(read_table(spark, path).select("key"))
+
+
+@_query("SELECT DISTINCT l_orderkey AS key, l_orderkey AS value FROM lineitem")
+def create_input_from_key_file(spark, d):
+    """A described input: the distinct keys of a key file that ends in the all-ones key, as pairs."""
+    s, path = Sides(spark, d), f"{_folder(spark)}/lines.keys"
+    last = spark.createDataFrame([(Decimal(inputs.SENTINEL),)], "key decimal(20,0)")
+    write_table(s.lines.select(F.col("key").cast("decimal(20,0)").alias("key")).union(last), path)
+    return _longs(runner.result(spark, OpSpec("create_input", source=path)))
+
+
+@_query(f"SELECT count(*) AS num_output_keys FROM ({SEMI})")
+def run_counts(spark, d):
+    """The rows that a run counts while it is timed."""
+    return spark.createDataFrame([(verify.timed(join_lsj(spark, d))["num_output_keys"],)], "num_output_keys long")
+
+
+def _described(**fields):
+    def q(spark, d):
+        s, at = Sides(spark, d), _folder(spark)
+        outer_first = fields["algo"] in ("sort_join", "hash_join", "unsorted_lsj_sorted_output", "unsorted_inlj_sorted_output")
+        write_table(s.lines if outer_first else s.orders_f, f"{at}/inner")
+        write_table(s.orders if outer_first else s.lines, f"{at}/outer")
+        return runner.result(spark, OpSpec.from_dict({"inner_table": f"{at}/inner", "outer_table": f"{at}/outer", **fields}))
+
+    return q
+
+
+_INDEX = {"type": "sampledflatpgm256", "search": "exponential"}
+for _algo, _rows, _more in (
+    ("lsj", SEMI, {}), ("lsj", SEMI, {"index": _INDEX, "num_threads": 4}), ("inlj", SEMI, {"index": {"type": "btree", "leaf_size_in_pages": 16, "search": "linear"}}), ("inlj", SEMI, {}),
+    ("alex_inlj", SEMI, {"index": {"type": "alex"}}), ("unsorted_lsj", SEMI, {"num_threads": 6}), ("unsorted_inlj", _sql["join_unsorted_inlj"], {}), ("sort_join", FIRST, {}), ("hash_join", FIRST, {}),
+    ("unsorted_lsj_sorted_output", FIRST, {"outer_index_file": "o", "inner_index_file": "i"}), ("unsorted_inlj_sorted_output", FIRST, {}),
+    ("standard_merge", _sql["merge_standard"], {}), ("learned_merge", f"SELECT key, value, src FROM ({MERGED})", {}), ("learned_merge", f"SELECT key, value, src FROM ({MERGED})", {"index": _INDEX}),
+):
+    _query(_rows, f"run_{_algo}" + ("_by_" + _more["index"]["type"] if "index" in _more else ""))(_described(algo=_algo, **_more))
+
+
+@_query(FOUND)
+def lookup_by_loaded_index(spark, d):
+    """Lookups by an index that was saved and loaded by its path."""
+    keys, path = Sides(spark, d).micros, f"{_folder(spark)}/index"
+    positioned = with_position(keys, "key")
+    indexes.build(positioned, IndexSpec.named("radixspline256")).save(path)
+    probes = keys.select(F.explode(F.array("key", F.col("key") + 1, F.col("key") + 86400000000)).alias("key"))
+    return indexes.find(positioned, probes, indexes.load(spark, path))
+
+
+@_query(f"""
+WITH b AS (SELECT key, value, (key >= 1000)::INT + (key >= 5000)::INT + (key >= 9000)::INT AS bucket FROM {LINES}),
+i AS (SELECT (key >= 1000)::INT + (key >= 5000)::INT + (key >= 9000)::INT AS bucket, min(key) AS lo, max(key) AS hi FROM {INNER} GROUP BY 1)
+SELECT key, value FROM b JOIN i USING (bucket) WHERE key BETWEEN lo AND hi
+""")
+def bucket_skip(spark, d):
+    """Outer rows that the least and greatest key of their bucket don't rule out."""
+    s = Sides(spark, d)
+    return learned.within_buckets(s.lines, s.orders_f, learned.Buckets([1000, 5000, 9000], [1] * 4), "key").select("key", "value")
+
+
+@_query("SELECT * FROM (SELECT 0 AS line, '| r_regionkey | r_name |' AS text UNION ALL SELECT 1, '| --- | --- |' UNION ALL SELECT 2 + row_number() OVER (ORDER BY r_regionkey) - 1, '| ' || r_regionkey || ' | ' || r_name || ' |' FROM region)")
+def report_markdown(spark, d):
+    shown = report.to_markdown(Sides(spark, d).read("region").select("r_regionkey", "r_name").orderBy("r_regionkey"))
+    return spark.createDataFrame(list(enumerate(shown.splitlines())), "line long, text string")
+
+
+@_query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
+def report_csv(spark, d):
+    path = f"{_folder(spark)}/nation"
+    report.to_csv(Sides(spark, d).read("nation").select("n_nationkey", "n_name"), path)
+    return spark.read.option("header", True).csv(path)

@@ -121,6 +121,20 @@ class KeyFile(DataSource):
                 files.append((path, KEYFILE_HEADER.size, KEYFILE_HEADER.unpack(f.read_at(KEYFILE_HEADER.size, 0))[0], 8, 0))
         return _Reader(files, self.options.get("keyType", "long"), False, int(self.options.get("partBytes", PART_BYTES)))
 
+    def writer(self, schema, overwrite):
+        _emptied(self.options["path"], overwrite)
+        return _Writer(self.options["path"], 8, 0, True)
+
+
+def _emptied(path: str, overwrite: bool) -> None:
+    """Delete what a folder holds before it is written anew."""
+    if overwrite:
+        from pyarrow import fs
+
+        store, at = _store(path)
+        if store.get_file_info(at).type == fs.FileType.Directory:
+            store.delete_dir_contents(at)
+
 
 @dataclass
 class Done(WriterCommitMessage):
@@ -228,12 +242,7 @@ class KvTable(DataSource):
         return _Reader(self._headers(), self.options.get("keyType", "long"), True, int(self.options.get("partBytes", PART_BYTES)))
 
     def writer(self, schema, overwrite):
-        if overwrite:
-            from pyarrow import fs
-
-            store, at = _store(self.options["path"])
-            if store.get_file_info(at).type == fs.FileType.Directory:
-                store.delete_dir_contents(at)
+        _emptied(self.options["path"], overwrite)
         return _Writer(self.options["path"], int(self.options.get("keySize", 8)), int(self.options.get("valueSize", 8)), False)
 
 

@@ -38,6 +38,9 @@ def write_table(df: DataFrame, path: str, key_size: int = 8, value_size: int = 8
         df.select("key", "value").write.format("kvtable").mode("overwrite").option("keySize", key_size).option("valueSize", value_size).save(path)
         if single:
             to_single_file(path)
+    elif path.rstrip("/").endswith(".keys"):
+        register(df.sparkSession)
+        df.select("key").write.format("keyfile").mode("overwrite").save(path)
     else:
         df.write.mode("overwrite").parquet(path)
 
