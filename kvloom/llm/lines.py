@@ -34,7 +34,7 @@ EDITS = 2
 SHORTEST = 20
 SENT = 1_000_000
 BLOCK = 1024
-HOT_ROWS = 512
+HOT_ROWS = 4096
 _COUNTERS = 11  # of four bits each
 _LOW = (1 << 64) - 1
 
@@ -453,21 +453,23 @@ def texts_of(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: s
     sent = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.collect()], np.int64))) if some <= SENT else None
 
     def each(batches):
-        keep = frozenset(sent.value.tolist()) if sent is not None else None
         seen: set[int] = set()
         for b in batches:
-            hs, lines = [], []
-            for t in b.column(1):
-                for _, line, h in eligible(t.as_py()):
-                    h &= _LOW
-                    h = h - (1 << 64) if h >> 63 else h
-                    if h not in seen and (keep is None or h in keep):
-                        if len(seen) >= 500_000:
-                            seen.clear()
-                        seen.add(h)
-                        hs.append(h)
-                        lines.append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(lines, pa.string())], ["h", "line"])
+            lines = [(line, h) for t in b.column(1) for _, line, h in eligible(t.as_py())]
+            h = _halves([h for _, h in lines])[0]
+            if sent is not None and len(sent.value):
+                at = np.minimum(np.searchsorted(sent.value, h), len(sent.value) - 1)
+                mine = np.flatnonzero(sent.value[at] == h)
+            else:
+                mine = np.arange(len(h) if sent is None else 0)
+            new = []
+            for x, key in zip(mine.tolist(), h[mine].tolist()):
+                if key not in seen:
+                    if len(seen) >= 500_000:
+                        seen.clear()
+                    seen.add(key)
+                    new.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(h[new] if new else [], pa.int64()), pa.array([lines[x][0] for x in new], pa.string())], ["h", "line"])
 
     got = _texts(docs, doc_id, text).where("doc_id is not null").mapInArrow(each, "h long, line string")
     if sent is None:
