@@ -100,11 +100,14 @@ def _plain(text: str) -> bool:
 _ODD = frozenset([0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF, *range(0x300, 0x370)])
 
 
-def tokenize_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 for each piece of each row (null text: empty)."""
+def tokenize_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 for each piece of each row (null text: empty).
+
+    Without a path each worker looks up where its own machine has the tokenizer.
+    """
 
     def pieces(batches):
-        cache = WordCache.at(path)
+        cache = WordCache.at(path or default_tokenizer())
         for b in batches:
             rows = []
             for i, t in enumerate(b.column(1)):
@@ -209,7 +212,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
 
     Null and empty texts are one piece of one id. Rows with equal ids are packed each for itself. No rows, no pieces.
     """
-    return pack(tokenize_pieces(docs, path or default_tokenizer(), capacity), capacity)
+    return pack(tokenize_pieces(docs, path, capacity), capacity)
 
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
