@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, table
+from .common import given_names, remainder, table
 
 FIT_ROWS = 20_000
 SHRINK = 0.1
@@ -108,7 +108,11 @@ class Discriminant:
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "quality", rows: int = FIT_ROWS) -> Discriminant | None:
-    """A model of at most `rows` labelled rows that aren't held out; None if either class has no row."""
+    """A model of at most `rows` labelled rows that aren't held out; None if either class has no row.
+
+    Of a document with several labels each counts, as does each row of an id that repeats; labels that aren't 0 or 1 count
+    for nothing, null texts as empty ones.
+    """
     chosen = labels.select(F.col("doc_id").alias("__id"), F.col(label).alias("__label")).where(F.col("__label").isin(0, 1) & ~held_out)
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "__label").limit(rows)
     got = with_statistics(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")), "__label").collect()  # at most rows ids: a bounded broadcast
@@ -117,15 +121,19 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "qual
 
 
 def score_quality(docs: DataFrame, model: Discriminant | None, *keep: str, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
-    """keep, score, predicted (or by other names) for each row. Null and empty texts are scored by their statistics; no model: 0.5 for all."""
+    """keep, score, predicted (or by other names) for each row. Null and empty texts are scored by their statistics; no model: 0.5 for all.
+
+    A kept column by the name of a result comes back as <name>_given. Equal rows score alike, no rows give none.
+    """
+    kept = given_names(keep, names)
 
     def each(batches):
         for b in batches:
             x = np.array([statistics(t.as_py()) for t in b.column(b.num_columns - 1)]).reshape(-1, len(FEATURES))
             s = model.score(x) if model is not None else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= CUT).astype("int32"))], [*keep, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= CUT).astype("int32"))], [*kept, *names])
 
-    given = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    given = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept)), F.col(text).cast("string").alias("__text"))
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in given.schema.fields[:-1])
     return given.mapInArrow(each, f"{kinds}`{names[0]}` double, `{names[1]}` int")
 
