@@ -26,6 +26,8 @@ MAX_SOURCES = 1_000_000
 GOLDEN = (5**0.5 - 1) / 2
 WEIGHTS = (5, 2, 1)
 MOST = 3
+#: Rows of a table that may be broadcast.
+SMALL = 1_000_000
 
 
 def fill_targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -130,10 +132,14 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs as the mix takes them: each row once for every pass that takes at least half of its words (so 0 to 3 times).
 
-    Documents without words have nothing to take and go.
+    Documents without words have nothing to take and go. Rows are known by id and text; where both repeat, each is taken as
+    often as the one of them that is taken most. The counts, a narrow table, are joined to docs: texts move only where that
+    table is above SMALL rows.
     """
-    keys = mix(docs, placed=False).where("size > 0").select(F.col("doc_id").alias("__mix_id"), F.col("size").alias("__mix_size"), F.floor((F.col("taken") + F.col("size") / 2) / F.col("size")).cast("int").alias("__mix_n"))
-    keys = keys.where("__mix_n > 0").groupBy("__mix_id", "__mix_size").agg(F.max("__mix_n").alias("__mix_n"))
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    out = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("__mix_id")) & (size == F.col("__mix_size")))
+    own = F.struct(F.col("doc_id").alias("i"), F.xxhash64(F.col("text").cast("string")).alias("t"))
+    taken = mix(docs.select(own.alias("doc_id"), "text", "source"), placed=False).where("size > 0")
+    keys = taken.select(F.col("doc_id.i").alias("__mix_i"), F.col("doc_id.t").alias("__mix_t"), F.floor((F.col("taken") + F.col("size") / 2) / F.col("size")).cast("int").alias("__mix_n"))
+    keys = cut(keys.where("__mix_n > 0").groupBy("__mix_i", "__mix_t").agg(F.max("__mix_n").alias("__mix_n")))
+    keys = F.broadcast(keys) if keys.limit(SMALL + 1).count() <= SMALL else keys
+    out = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("__mix_i")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__mix_t")))
     return out.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n")))).select(*[docs[c] for c in docs.columns])
