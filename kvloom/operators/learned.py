@@ -2,7 +2,7 @@
 
 The cut points of the buckets come from an approximate summary of all keys. Rows of both sides go to the partition of their
 bucket in one exchange (the number of the partition is the bucket's, not a hash), are sorted there, and meet in one pass over
-each partition. Rows whose key is outside of what their bucket holds on the other side are dropped before they move.
+each partition. Outer rows whose key is outside of what their bucket holds of the inner side are dropped before they move.
 """
 
 from __future__ import annotations
@@ -85,7 +85,7 @@ def _meet(outer: DataFrame, inner: DataFrame, buckets: Buckets, key: str, carrie
     """Rows of outer whose key is in inner (distinct keys), in key order within buckets; with inner's column `carried`, if named."""
     columns = outer.columns
     left = within_buckets(outer.where(F.col(key).isNotNull()), inner, buckets, key)
-    right = within_buckets(inner.where(F.col(key).isNotNull()), outer, buckets, key)
+    right = inner.where(F.col(key).isNotNull()).withColumn("__b", cdf_bucket(F.col(key), buckets.cuts))
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), buckets.widths(F.col("__b")).cast("long")).cast("int")
     held = outer.schema[carried].dataType if carried in columns else inner.schema[carried].dataType if carried else "int"
     left = left.select(*columns, F.lit(None).cast(held).alias("__held"), F.lit(1).alias("__src"), (buckets.first(F.col("__b")) + spread).alias("__p"))
