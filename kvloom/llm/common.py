@@ -8,14 +8,26 @@ from pyspark.sql import functions as F
 from kvloom.materialize import cut
 from kvloom.shipping import ship
 
-__all__ = ["WORD", "cut", "given_names", "remainder", "slices", "table"]
+__all__ = ["WORD", "cut", "given_names", "prepare", "remainder", "slices", "table"]
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: What a batch of rows for a Python worker may hold; Spark's own default is 64 MB, several of which a worker would hold at a time.
+BATCH, _BATCH_BYTES = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
+_DEFAULT = 64 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the executors, and keep batches of texts small unless the session says how large they may be."""
     ship(spark)
+    if spark.conf.get(_BATCH_BYTES).rstrip("b") == str(_DEFAULT):
+        spark.conf.set(_BATCH_BYTES, BATCH)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

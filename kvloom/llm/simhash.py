@@ -4,16 +4,20 @@ A fingerprint is the bitwise majority of the XXH64 values of a text's three-word
 node. Two fingerprints within RADIUS bits agree in one of RADIUS + 1 bands of their bits, so the nodes of each (band,
 value) form a shard with a BK-tree of its own: children are keyed by their Hamming distance to the parent, and a
 search follows only the edges within the radius of the distance it has found. A shard above HOT nodes is split again
-by bands of the bits outside its band, by the same argument, so it needs no cap. A shard gives a spanning forest of
-its links, never all pairs. Components of the links are found in rounds (graph.py).
+by bands of the bits that it hasn't been split by, by the same argument, and so on until none is that large, so it needs
+no cap. A shard gives a spanning forest of its links, never all pairs. Components of the links are found in rounds
+(graph.py).
 
 Scale: texts never move; a row of a shuffle is a key and a fingerprint. Trees of the shards reach the tasks by that
-shuffle rather than by a broadcast, since together they grow with the data. All documents with one fingerprint are
+shuffle rather than by a broadcast: together they grow with the data, and a broadcast would first gather the
+fingerprints of all documents on the driver. All documents with one fingerprint are
 aggregated to one row before anything else.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,7 +27,6 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 from .graph import components
-from .jaccard import similar_components
 
 RADIUS = 3
 SEED = 42
@@ -160,45 +163,57 @@ def shard_links(shard: np.ndarray, fps: np.ndarray, radius: int = RADIUS, block:
     return order[linked], order[parent[linked]]
 
 
-def _shard_rows(nodes: DataFrame, radius: int) -> DataFrame:
-    """key long, part int, fp: each node once for each band."""
-    plan = bands(list(range(64)), radius + 1)
-
-    def each(batches):
-        for b in batches:
-            fp = b.column(0).to_numpy().view(np.uint64)
-            for i, bits in enumerate(plan):
-                yield pa.RecordBatch.from_arrays([pa.array(_key(fp, bits).view(np.int64)), pa.array(np.full(len(fp), i, np.int32)), b.column(0)], ["key", "band", "fp"])
-
-    return nodes.mapInArrow(each, "key long, band int, fp long")
+@lru_cache(maxsize=4096)
+def _plan(path: int, radius: int) -> list[list[int]]:
+    """The bands of the bits that a shard hasn't been split by. path: which band was taken each time, from 1, in base radius + 2."""
+    taken = []
+    while path:
+        path, band = divmod(path, radius + 2)
+        taken.append(band - 1)
+    left = list(range(64))
+    for band in reversed(taken):
+        own = set(bands(left, radius + 1)[band])
+        left = [b for b in left if b not in own]
+    return bands(left, radius + 1)
 
 
 def _split(rows: DataFrame, radius: int) -> DataFrame:
-    """Rows of hot shards, once for each band of the bits outside their own; the sub-shard joins the key."""
-    plans = [bands([b for b in range(64) if b not in set(own)], radius + 1) for own in bands(list(range(64)), radius + 1)]
+    """Rows (key, path, fp) of shards, once for each band of the bits left; its value is mixed into the key."""
 
     def each(batches):
         for b in batches:
-            band, fp = b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)
-            for i, plan in enumerate(plans):
-                own = np.flatnonzero(band == i)
-                for j, bits in enumerate(plan):
-                    sub = _key(fp[own], bits).astype(np.int64)
-                    keys = b.column(0).to_numpy()[own]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(own), i * 100 + j + 1000, np.int32)), pa.array(sub), pa.array(fp[own].view(np.int64))], ["key", "band", "sub", "fp"])
+            key, path, fp = (b.column(c).to_numpy() for c in range(3))
+            for p in np.unique(path).tolist():
+                own = path == p
+                for i, bits in enumerate(_plan(p, radius)):
+                    mixed = (key[own].view(np.uint64) + np.uint64(i + 1)) * np.uint64(0x9E3779B97F4A7C15) ^ _key(fp[own].view(np.uint64), bits) * np.uint64(0xC2B2AE3D27D4EB4F)
+                    mixed ^= mixed >> np.uint64(29)
+                    columns = [pa.array(mixed.view(np.int64)), pa.array(np.full(len(mixed), p * (radius + 2) + i + 1)), pa.array(fp[own])]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "path", "fp"])
+
+    return rows.mapInArrow(each, "key long, path long, fp long")
 
-    return rows.mapInArrow(each, "key long, band int, sub long, fp long")
+
+def _shards(nodes: DataFrame, radius: int, hot: int) -> DataFrame:
+    """key, path, fp: the nodes once for each shard that they are in, all shards of at most `hot` nodes and none of one."""
+    rows, out = nodes.select(F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("path"), "fp"), None
+    while True:
+        rows = _split(rows, radius)
+        full = rows.groupBy("key", "path").count().where("count > 1")  # a shard of one has no pair
+        rows = rows.join(full, ["key", "path"])
+        usual = rows.where(F.col("count") <= hot).select("key", "path", "fp")
+        out = usual if out is None else out.union(usual)
+        rows = cut(rows.where(F.col("count") > hot).select("key", "path", "fp"))
+        if rows.isEmpty():
+            return out
 
 
 def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """a, b (fingerprints): enough links to join all of nodes (fp, distinct) that are within the radius of each other."""
+    """a, b (fingerprints): enough links to join all of nodes (fp, distinct) that are within the radius of each other.
 
-    rows = _shard_rows(nodes, radius)
-    full = rows.groupBy("key", "band").count().where("count > 1")  # a shard of one has no pair
-    rows = rows.join(full, ["key", "band"])
-    usual = rows.where(F.col("count") <= hot).select("key", "band", F.lit(0).cast("long").alias("sub"), "fp")
-    hotter = _split(rows.where(F.col("count") > hot).select("key", "band", "fp"), radius)
-    rows = usual.union(hotter).repartition("key", "band", "sub").sortWithinPartitions("key", "band", "sub", "fp")
+    Distinct fingerprints that agree in all but k bits are at most 2 ** k, so splitting ends where `hot` is above 2 ** radius.
+    """
+    rows = _shards(nodes, radius, max(hot, 2 << radius)).repartition("key", "path").sortWithinPartitions("key", "path", "fp")
 
     def links(batches):
         def done(keys, fps):
@@ -208,7 +223,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT) ->
 
         kept = None
         for b in batches:  # shards come whole: the last one of a batch waits for the next batch
-            keys = b[["key", "band", "sub"]].to_numpy(np.int64)
+            keys = b[["key", "path"]].to_numpy(np.int64)
             fps = b["fp"].to_numpy(np.int64).view(np.uint64)
             if kept is not None:
                 keys, fps = np.concatenate((kept[0], keys)), np.concatenate((kept[1], fps))
@@ -240,14 +255,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without near duplicates, by Jaccard similarity of five-word shingles and not by fingerprints, which lose most.
-
-    Of each component the row with the smallest doc_id stays (one of equal ids). Rows without an id can't be told apart
-    by one and all stay.
-    """
-    keep = similar_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__dup_id")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["__dup_id"]).select(*[docs[c] for c in docs.columns])
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id is null"))

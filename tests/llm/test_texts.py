@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kvloom.llm import html, lines, mixing, packing, pii, quality, simhash, toxicity
+from kvloom.llm import html, jaccard, lines, mixing, packing, pii, quality, simhash, toxicity
 from kvloom.llm.graph import components
 
 SF = "/root/testdata/sf0.01"
@@ -86,6 +86,30 @@ def test_fingerprint_links_over_all_shards(spark, hot):
     assert reach(s, got) == reach(s, [(s[x], s[y]) for x, y in zip(i, j)])
 
 
+def test_hot_shards_are_split_until_none_is(spark):
+    """Fingerprints that share most bits: shards are split more than once, none stays large, and no pair is lost."""
+    rng = np.random.default_rng(5)
+    fps = np.unique(rng.integers(0, 1 << 20, 700, dtype=np.uint64) << np.uint64(22) | np.uint64(0xABC))
+    nodes = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    shards = simhash._shards(nodes, 3, 30)
+    assert shards.groupBy("key", "path").count().agg(F.max("count")).first()[0] <= 30 and shards.agg(F.max("path")).first()[0] >= 25
+    i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3)
+    s = fps.view(np.int64).tolist()
+    assert reach(s, [(r.a, r.b) for r in simhash.fingerprint_links(nodes, hot=30).collect()]) == reach(s, [(s[x], s[y]) for x, y in zip(i, j)])
+
+
+def test_mix_tells_rows_of_one_id_apart(spark):
+    """Rows that share id and word count are taken by their own counts; equal rows equally."""
+    rows = [(i % 40, f"{i} " + "w " * (i % 3), "ab"[i % 2]) for i in range(200)] + [(1, "same text", "b")] * 2
+    docs = documents(spark, rows)
+    taken = {(r.doc_id.i, r.doc_id.t): (r.taken, r["size"]) for r in mixing.mix(docs.select(F.struct(F.col("doc_id").alias("i"), F.col("text").alias("t")).alias("doc_id"), "text", "source")).collect()}
+    assert len(taken) == 201
+    got = defaultdict(int)
+    for r in mixing.mixed_documents(docs).collect():
+        got[r.doc_id, r.text] += 1
+    assert len(set(got.values())) > 1 and got[1, "same text"] % 2 == 0 and all(0 <= n <= 3 for k, n in got.items() if k != (1, "same text"))
+
+
 def test_components_of_chains_stars_and_nothing(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)] + [(500, 500)]
@@ -102,12 +126,16 @@ def test_near_duplicates_on_odd_rows(spark):
     f = lambda t: f"{slow_fingerprint(t):016x}"
     want = [(5, f(text), 3), (3, f(text), 3), (9, f(rows[2][1]), 9), (9, f(rows[2][1]), 9), (1, "0" * 16, 1), (2, "0" * 16, 1), (None, f(text), 3), (None, f(rows[6][1]), None)]
     assert got == sorted(want, key=repr)
-    assert sorted(str(r.doc_id) for r in simhash.one_of_each(documents(spark, rows)).collect()) == ["1", "3", "9", "None", "None"]
+    assert sorted(str(r.doc_id) for r in jaccard.one_of_each(documents(spark, rows)).collect()) == ["1", "3", "9", "None", "None"]
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
-def test_one_of_each_finds_all_pairs_at_four_fifths(spark):
-    """Edited copies, chains of them and a passage in a third of the texts, against all pairs of sets."""
+@pytest.mark.parametrize("large", [3, 50])
+def test_one_of_each_finds_all_pairs_at_four_fifths(spark, large, monkeypatch):
+    """Edited copies, chains of them and a passage in a third of the texts, against all pairs of sets; in several rounds."""
+    monkeypatch.setattr(jaccard, "LARGE", large)
+    monkeypatch.setattr(jaccard, "MANY", 3)
+    monkeypatch.setattr(jaccard, "STRETCH", 4)
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(3000)]
     passage = [rng.choice(vocabulary) for _ in range(40)]
@@ -129,7 +157,24 @@ def test_one_of_each_finds_all_pairs_at_four_fifths(spark):
     linked = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
     assert sum(bin(simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).count("1") > 3 for i, j in linked) > 20
     want = sorted(set(reach(range(len(texts)), linked).values()))
-    assert sorted(r.doc_id for r in simhash.one_of_each(documents(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()) == want
+    assert sorted(r.doc_id for r in jaccard.one_of_each(documents(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()) == want
+
+
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    rows = [(5, "one two three four five six", "a"), (5, "other words that are not like it", "a"), (5, "other words that are not like it", "b"), (7, "one two three four five six", "a"), (8, None, "a"), (8, "", "a"), (None, "", "a")]
+    docs = documents(spark, rows)
+    got = [sorted((str(r.doc_id), r.text or "") for r in jaccard.one_of_each(d).collect()) for d in (docs, docs.repartition(3))]
+    assert got[0] == got[1] == sorted([("5", rows[0][1]), ("5", rows[1][1]), ("8", ""), ("None", "")])
+    assert jaccard.one_of_each(documents(spark, [])).count() == 0
+
+
+def test_moved_values_come_last_in_prefixes():
+    v = np.arange(0, 100, 2)
+    moved = np.array([40, 0, 98, 7])
+    order = np.argsort(moved)
+    assert list(jaccard.prefix(v, moved[order], order)) == list(range(2, 24, 2))
+    assert list(jaccard.prefix(v, moved[order], order, chance=0.01)) == [2, 4, 6] and len(jaccard.prefix(np.arange(10_000), v[:0], v[:0])) == 23
+    assert list(jaccard.prefix(np.array([0, 40, 98]), moved[order], order)) == [40] and len(jaccard.prefix(v[:0], moved[order], order)) == 0
 
 
 
@@ -158,13 +203,13 @@ def test_segments_meet_within_the_threshold(a, data):
     assert lines._gaps(np.array([lines.signature(a)]), np.array([lines.signature(b)]))[0, 0]
 
 
-def slow_lines(docs):
+def slow_lines(docs, least=1):
     seen = defaultdict(list)
     for i, t in docs:
-        for no, line, _ in lines.eligible(t) if i is not None else ():
+        for no, line, _ in lines.eligible(t, least) if i is not None else ():
             seen[line].append((i, no))
     keys = sorted(seen)
-    linked = [(a, b) for x, a in enumerate(keys) for b in keys[x + 1 :] if lines.within(a, b)]
+    linked = [(a, b) for x, a in enumerate(keys) for b in keys[x + 1 :] if min(len(a), len(b)) >= lines.SHORTEST and lines.within(a, b)]
     classes = defaultdict(list)
     for line, top in reach(keys, linked).items():
         classes[top] += seen[line]
@@ -180,14 +225,55 @@ def test_lengths_wrap_in_signatures(length):
     assert not lines._gaps(a, np.array([lines.signature("x" * (length + 3))]))[0, 0]
 
 
-def test_hot_keys_are_dealt_out_without_losing_pairs(spark):
-    rng = random.Random(9)
-    stem = "a stem that all lines share and more "
-    texts = [stem + "".join(rng.choice("abcd") for _ in range(4)) for _ in range(120)]
+def components_of(pairs):
+    pairs = [tuple(p) for p in pairs]
+    tops = reach(sorted({x for p in pairs for x in p}), pairs)
+    classes = defaultdict(set)
+    for x, top in tops.items():
+        classes[top].add(x)
+    return sorted(map(sorted, classes.values()))
+
+
+@pytest.mark.parametrize("shape", ["{0} in the middle of lines that are alike {1}", "a stem that all lines share and more {0}{1}", "{0}{1} and what all lines end with, which is long", "\u00e9{0} ein nicht langes St\u00fcck {1}\u00e9"])
+def test_refined_hot_keys_lose_no_link(spark, shape):
+    """Lines of one template, some within two edits: refining joins the same lines as comparing all of them."""
+    rng = random.Random(len(shape))
+    texts = sorted({shape.format("".join(rng.choice("abc") for _ in range(rng.choice((3, 4, 9)))), "".join(rng.choice("abc") for _ in range(rng.choice((2, 3, 8))))) for _ in range(150)})
     docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
-    keys = lines.segment_keys(docs)
-    plain = sorted(map(tuple, lines.candidates(keys).collect()))
-    assert plain and plain == sorted(map(tuple, lines.candidates(keys, hot=20).collect()))
+    key = lambda t: lines._halves([next(iter(lines.eligible(t)))[2]])[0][0]
+    want = components_of((key(a), key(b)) for i, a in enumerate(texts) for b in texts[i + 1 :] if lines.within(a, b))
+    for hot in (lines.HOT_ROWS, 8):
+        assert components_of(lines.links(docs, hot=hot).collect()) == want and want
+
+
+def test_templates_are_compared_in_proportion(spark):
+    """Lines of one template that are unlike each other: candidates and finer rows grow with the lines, not their square."""
+    counts = []
+    hot = 512
+    for n in (1500, 6000):
+        rng = random.Random(1)
+        docs = documents(spark, [(i, "\n".join(f"Reading at station {rng.randint(1, 9)}: {rng.randint(0, 99_999_999):08}" for _ in range(50)), "s") for i in range(n // 50)])
+        pairs, rows = lines.candidates(lines.segment_keys(docs), hot)
+        keys = rows.select("h").distinct()
+        found = lines.texts_of(docs, keys)
+        finer = lines._refined(rows.join(found, "h").select("key", "h", "meta", "line"), True)
+        settled = lines._settle(finer, hot)
+        counts.append((pairs.count() + 1, settled.count() + 1))
+        assert keys.count() == n
+    assert counts[1][0] <= 6 * counts[0][0] + 6000 and counts[1][1] <= 10 * counts[0][1] + 60_000, counts
+
+
+def test_short_lines_are_dropped_where_equal(spark):
+    docs = documents(spark, [(1, "Yes.\nyes.\n\nYes.", "s"), (2, "Yes.\n  \n\nNo.", "s"), (3, "No.", "s")])
+    assert sorted(r["__text"] for r in lines.deduplicated(docs, "doc_id").collect()) == sorted(["Yes.\nyes.\n", "  \n\nNo.", ""])
+    assert sorted(r["__text"] for r in lines.deduplicated(docs, "doc_id", least=20).collect()) == sorted(r.text for r in docs.collect())
+
+
+def test_heads_compare_whole_keys():
+    heads = lines.Heads(np.array([5, 5, 9]), np.array([1, 2, 3]), np.array([10, 20, 30]), np.array([0, 1, 2]))
+    h, hi, at, no = (np.array(x) for x in zip((5, 1, 10, 0), (5, 2, 10, 0), (5, 3, 7, 7), (9, 3, 30, 2), (9, 3, 30, 1), (8, 1, 1, 1)))
+    assert heads.elsewhere(h, hi, at, no).tolist() == [False, True, False, False, True, False]
+    assert not lines.Heads(*(np.zeros(0, np.int64),) * 4).elsewhere(h, hi, at, no).any()
 
 
 @pytest.mark.parametrize("sent", [lines.SENT, 1])
@@ -241,6 +327,22 @@ def test_classifiers_on_odd_rows(spark):
         assert score(docs.limit(0), None, "doc_id").count() == 0
 
 
+def test_toxicity_dictionaries_and_calibration(spark):
+    """Both dictionaries are trained ones; the calibrating half changes no dictionary; a bound on characters holds."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    sides = [[docs[r.doc_id] for r in spark.read.parquet(f"{SF}/labels.parquet").orderBy("doc_id").collect() if r.toxic == c and docs.get(r.doc_id)] for c in (0, 1)]
+    model = toxicity.fit_texts(*sides)
+    assert all(d[:4] == bytes.fromhex("37a430ec") for d in model.coders.dictionaries)
+    other = toxicity.fit_texts([t if i % 2 == 0 else f"other{i} words" for i, t in enumerate(dict.fromkeys(sides[0]))], sides[1])
+    assert other.coders.dictionaries == model.coders.dictionaries and other.ratios != model.ratios
+    table = documents(spark, [(1, "good words", "a"), (1, "good words", "a"), (2, "awful words", "a"), (3, None, "a")])
+    labels = spark.createDataFrame([(1, 0), (1, 0), (2, 1), (2, 0), (3, 1), (None, 1), (4, None)], "doc_id long, toxic int")
+    assert toxicity.fit(table, labels, F.lit(False)) is not None
+    assert toxicity.fit(table, labels, F.lit(False), characters=5) is None and toxicity.fit(table, labels.limit(0), F.lit(False)) is None
+    out = toxicity.score_toxicity(table.withColumn("score", F.lit("x")), None, "doc_id", "score")
+    assert out.columns == ["doc_id", "score_given", "score", "predicted"] and out.count() == 4
+
+
 def test_accepted_keeps_columns_of_any_name(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit(1)).withColumn("predicted", F.lit("x")).withColumn("label", F.lit(None).cast("double"))
     got = quality.accepted(docs, spark.read.parquet(f"{SF}/labels.parquet"))
@@ -387,6 +489,21 @@ def test_small_sources_get_their_targets_and_slots(spark):
         assert [s for _, s in sorted(v)] == sorted(s for _, s in v)
 
 
+def test_any_prefix_of_the_order_holds_each_source_in_its_share(spark):
+    """Documents in the order of their slots: after any number of slots each source has its share, but for a block and a document."""
+    rows = [(i, "w " * 10, "abc"[k]) for k, n in enumerate((500, 200, 100)) for i in range(1000 * k, 1000 * k + n)]
+    got = mixing.mix(documents(spark, rows), slots=400).collect()
+    source = {i: s for i, _, s in rows}
+    target = {source[r.doc_id]: r.target for r in got}
+    assert {s: round(t) for s, t in target.items()} == {"a": 5000, "b": 2000, "c": 1000}
+    block = 8000 / 400
+    for slots in range(20, 401, 20):
+        words = defaultdict(int)
+        for r in got:
+            words[source[r.doc_id]] += r.taken * (r.slot < slots)
+        assert all(abs(words[s] - t * slots / 400) <= 2 * block + 10 for s, t in target.items()), (slots, dict(words))
+
+
 def test_schedule_ranks(spark):
     rows = mixing.schedule(spark, [3.0, 1.0, 2.0], 6000).collect()
     by = defaultdict(list)
@@ -592,7 +709,7 @@ def test_pipeline(spark, tmp_path):
             assert sum(i in kept for i, q in truth.items() if q) >= 0.98 * sum(truth.values())
             assert sum(i in kept for i, q in truth.items() if not q) <= 0.1 * sum(1 - q for q in truth.values())
         if name == "line_dedup":
-            want = [(i, t) for i, t in slow_lines([(r.doc_id, r.text) for r in docs.where("doc_id < 300").collect()])]
+            want = [(i, t) for i, t in slow_lines([(r.doc_id, r.text) for r in docs.where("doc_id < 300").collect()], lines.SHORTEST)]
             small = stage(spark, docs.where("doc_id < 300"), SF).collect()
             assert sorted((r.doc_id, r.text) for r in small) == sorted(x for x in want if x[1].strip())
             assert all(r.n_chars == len(r.text) for r in small)
