@@ -73,12 +73,13 @@ def within_buckets(df: DataFrame, other: DataFrame, buckets: Buckets, key: str)
     """Rows of df with a key that lies between the least and greatest key of its bucket in other."""
     per = other.groupBy(cdf_bucket(F.col(key), buckets.cuts).alias("__b")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
     held = {r["__b"]: (r["lo"], r["hi"]) for r in per.where("lo is not null").collect()}  # one row a bucket
-    inside = None
-    for b, (lo, hi) in sorted(held.items()):
-        one = (F.col("__b") == b) & F.col(key).between(F.lit(lo), F.lit(hi))
-        inside = one if inside is None else inside | one
     given = df.withColumn("__b", cdf_bucket(F.col(key), buckets.cuts))
-    return given.where(inside if inside is not None else F.lit(False))
+    if not held:
+        return given.where(F.lit(False))
+    # a lookup names the bucket twice; a condition for each bucket would hold its expression as often as there are buckets
+    kind, at = other.schema[key].dataType.simpleString(), F.col("__b") + 1
+    lo, hi = (F.element_at(F.lit([held.get(b, (None, None))[i] for b in range(len(buckets.cuts) + 1)]).cast(f"array<{kind}>"), at) for i in (0, 1))
+    return given.where(F.col(key).between(lo, hi))
 
 
 def _meet(outer: DataFrame, inner: DataFrame, buckets: Buckets, key: str, carried: str | None) -> DataFrame:

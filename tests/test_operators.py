@@ -354,3 +354,33 @@ def test_report_helpers(spark):
     assert report.to_markdown(df) == "| name | v |\n| --- | --- |\n| a.b.c | 1.0 |\n| x |  |\n"
     with pytest.raises(ValueError):
         report.to_markdown(df, 1)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+FORMS_OF_MANY_BUCKETS = ("join_forms_agree",)
+
+
+@pytest.mark.parametrize("name", FORMS_OF_MANY_BUCKETS)
+def test_plans_grow_with_the_buckets_and_not_with_their_square(spark, name):
+    from kvloom.plans import catalog
+
+    before, sizes = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (20, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            sizes.append(plan_of(catalog.queries()[name](spark, "/root/testdata/sf0.001")).count("CASE WHEN"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert 0 < sizes[1] < 3 * sizes[0]
+
+
+def test_buckets_without_inner_rows_and_decimal_keys(spark):
+    """Every key beside the bounds of its bucket goes; unsigned keys pass what longs hold."""
+    outer, inner = (spark.createDataFrame([(Decimal(k), k % 7) for k in keys], "key decimal(20,0), value long") for keys in ([1, 5, 9, 2**64 - 2, 2**64 - 1], [5, 2**64 - 2]))
+    cuts = [Decimal(3), Decimal(6), Decimal(2**63)]
+    got = learned.within_buckets(outer, inner, learned.Buckets(cuts, [1] * 4), "key")
+    assert sorted(int(r["key"]) for r in got.collect()) == [5, 2**64 - 2]
+    assert learned.within_buckets(outer, inner.where("false"), learned.Buckets(cuts, [1] * 4), "key").count() == 0
