@@ -360,7 +360,7 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-FORMS_OF_MANY_BUCKETS = ("join_forms_agree", "join_unsorted_lsj_sorted_output", "run_unsorted_lsj", "join_unsorted_lsj")
+FORMS_OF_MANY_BUCKETS = ("join_forms_agree", "join_unsorted_lsj_sorted_output", "run_unsorted_lsj", "join_unsorted_lsj", "run_unsorted_lsj_sorted_output")
 
 
 @pytest.mark.parametrize("name", FORMS_OF_MANY_BUCKETS)
