@@ -84,12 +84,19 @@ def _key(fp: np.ndarray, bits: list[int]) -> np.ndarray:
     return out
 
 
+def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints that are words, or rows of words."""
+    d = np.bitwise_count(x ^ y)
+    return d if d.ndim == 1 else d.sum(axis=1, dtype=np.int16)
+
+
 class BkForest:
-    """BK-trees of many shards at once, in arrays. fps: distinct within a shard; rows are sorted by shard."""
+    """BK-trees of many shards at once, in arrays. fps: distinct within a shard, words or rows of words; rows are sorted by shard."""
 
     def __init__(self, shard: np.ndarray, fps: np.ndarray):
         n = len(fps)
         self.fps, self.depth = fps, 0
+        self.base = base = 128 * (fps.shape[1] if fps.ndim > 1 else 1)  # above any distance
         self.edge = np.full(n, -1, np.int16)  # distance to the parent
         self.parent = np.full(n, -1, np.int64)
         group, left = shard.astype(np.int64), np.arange(n)
@@ -100,7 +107,7 @@ class BkForest:
             if self.depth == 0:
                 _, first, inverse = np.unique(group[left], return_index=True, return_inverse=True)
             else:
-                key = above[left] * 128 + self.edge[left]
+                key = above[left] * base + self.edge[left]
                 _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
             nodes = left[first]
             self.parent[nodes] = above[nodes]
@@ -110,21 +117,21 @@ class BkForest:
             under = nodes[inverse[rest]]
             left = left[rest]
             above[left] = under
-            self.edge[left] = np.bitwise_count(fps[left] ^ fps[under])
+            self.edge[left] = distance(fps[left], fps[under])
             self.depth += 1
         child = np.flatnonzero(self.parent >= 0)
         self.children = child[np.lexsort((self.edge[child], self.parent[child]))]
-        self.keys = self.parent[self.children] * 128 + self.edge[self.children]  # sorted
+        self.keys = self.parent[self.children] * base + self.edge[self.children]  # sorted
 
     def search(self, fps: np.ndarray, root: np.ndarray, radius: int):
         """Pairs (query, node) within the radius, queries starting at their root node; yields one level's at a time."""
         q, node = np.arange(len(fps)), root
         while len(q):
-            d = np.bitwise_count(fps[q] ^ self.fps[node]).astype(np.int64)
+            d = distance(fps[q], self.fps[node]).astype(np.int64)
             hit = d <= radius
             yield q[hit], node[hit]
-            lo = np.searchsorted(self.keys, node * 128 + np.maximum(d - radius, 0))
-            hi = np.searchsorted(self.keys, node * 128 + np.minimum(d + radius, 127), side="right")
+            lo = np.searchsorted(self.keys, node * self.base + np.maximum(d - radius, 0))
+            hi = np.searchsorted(self.keys, node * self.base + np.minimum(d + radius, self.base - 1), side="right")
             n = hi - lo
             q = np.repeat(q, n)
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)

@@ -168,6 +168,40 @@ def test_one_of_each_tells_rows_of_one_id_apart(spark):
     assert jaccard.one_of_each(documents(spark, [])).count() == 0
 
 
+def test_trees_of_values_give_all_pairs_within_the_radius(monkeypatch):
+    """SimHash fingerprints in BK-trees, one for each value, against all pairs; equal fingerprints and several components too."""
+    monkeypatch.setattr(jaccard, "AT_A_TIME", 500)
+    rng = np.random.default_rng(1)
+    size, words = 400, jaccard.BITS // 64
+    h = np.sort(rng.integers(0, 12, size))
+    fps = rng.integers(0, 2**64, (6, words), dtype=np.uint64)[rng.integers(0, 6, size)]
+    for i in np.flatnonzero(rng.random(size) < 0.7):
+        for _ in range(rng.integers(0, 500)):
+            fps[i, rng.integers(0, words)] ^= np.uint64(1) << np.uint64(rng.integers(0, 64))
+    n, p, c = rng.integers(5, 60, size), rng.integers(0, 3, size), rng.integers(0, 60, size)
+    sig = rng.permutation(size)
+    order = np.lexsort((sig, n, h))
+    h, sig, n, p, c, fps = (x[order] for x in (h, sig, n, p, c, fps))
+    want = []
+    for i in range(size):
+        for j in range(i):
+            limit = jaccard.RADIUS_SMALL if min(n[i], n[j]) < jaccard.SMALL_SET else jaccard.RADIUS
+            if h[i] == h[j] and c[i] != c[j] and np.bitwise_count(fps[i] ^ fps[j]).sum() <= limit and 9 * min(n[i] - p[i], n[j] - p[j]) >= 4 * (n[i] + n[j]):
+                want.append((max(sig[i], sig[j]), min(sig[i], sig[j])))
+    a, b = jaccard.shard_pairs(h, sig, n, p, c, fps)
+    assert len(want) > 50 and sorted(zip(a.tolist(), b.tolist())) == sorted(want)
+    a, b = jaccard.shard_pairs(h, sig, n, p, c, fps, nearest=True)
+    assert 0 < len(a) < len(want) and set(zip(a.tolist(), b.tolist())) <= set(want)
+    # sets of Jaccard 4/5 are well within the radius, unlike ones far beyond it
+    near, far = [], []
+    for _ in range(50):
+        v = rng.integers(-(2**63), 2**63 - 1, 100)
+        one, two = (jaccard.fingerprint(np.sort(v[x])) for x in (slice(0, 90), slice(10, 100)))
+        near.append(int(simhash.distance(one[None], two[None])[0]))
+        far.append(int(simhash.distance(one[None], jaccard.fingerprint(np.sort(rng.integers(-(2**63), 2**63 - 1, 90)))[None])[0]))
+    assert max(near) < jaccard.RADIUS < min(far) - 50 and not jaccard.fingerprint(v[:0]).any()
+
+
 def test_moved_values_come_last_in_prefixes():
     v = np.arange(0, 100, 2)
     moved = np.array([40, 0, 98, 7])
