@@ -31,17 +31,16 @@ def _quantiles(df: DataFrame, buckets: int, key: str, accuracy: int = 10_000) ->
 
 
 def cdf_bucket(key: Column, cuts: list) -> Column:
-    """How many cut points are at or below the key, by halves."""
+    """How many cut points are at or below the key, by halves; the expression is as long for many cut points as for few."""
     if not cuts:
         return F.lit(0)
+    held, steps = F.lit(list(cuts)), [1 << k for k in reversed(range(len(cuts).bit_length()))]
 
-    def within(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key >= F.lit(cuts[mid]), within(mid + 1, hi)).otherwise(within(lo, mid))
+    def ahead(found: Column, step: Column) -> Column:
+        # beyond the last cut point, get gives null
+        return F.when(key >= F.get(held, found + step - 1), found + step).otherwise(found)
 
-    return within(0, len(cuts))
+    return F.aggregate(F.lit(steps), F.lit(0), ahead)
 
 
 @dataclass

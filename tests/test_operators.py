@@ -384,3 +384,24 @@ def test_buckets_without_inner_rows_and_decimal_keys(spark):
     got = learned.within_buckets(outer, inner, learned.Buckets(cuts, [1] * 4), "key")
     assert sorted(int(r["key"]) for r in got.collect()) == [5, 2**64 - 2]
     assert learned.within_buckets(outer, inner.where("false"), learned.Buckets(cuts, [1] * 4), "key").count() == 0
+
+
+@pytest.mark.parametrize("name", ("run_unsorted_lsj",))
+def test_plans_of_bucketed_semi_joins_do_not_grow_with_the_buckets(spark, name):
+    from kvloom.plans import catalog
+
+    before, sizes = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (10, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            sizes.append(plan_of(catalog.queries()[name](spark, "/root/testdata/sf0.001")).count("CASE WHEN"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sizes[0] == sizes[1]
+
+
+def test_bucket_is_the_number_of_cut_points_at_or_below_the_key(spark):
+    for kind, cuts in (("long", [-(2**40), -3, 0, 7, 8, 2**62]), ("decimal(20,0)", [Decimal(0), Decimal(5), Decimal(2**63), Decimal(2**64 - 1)]), ("double", [0.5]), ("long", list(range(0, 3000, 3)))):
+        keys = sorted({type(cuts[0])(int(c) + d) for c in cuts for d in (-1, 0, 1)})
+        got = spark.createDataFrame([(k,) for k in [*keys, None]], f"key {kind}").select("key", learned.cdf_bucket(F.col("key"), cuts).alias("b")).collect()
+        assert [r["b"] for r in got] == [sum(c <= r["key"] for c in cuts) if r["key"] is not None else 0 for r in got]
