@@ -386,7 +386,7 @@ def test_buckets_without_inner_rows_and_decimal_keys(spark):
     assert learned.within_buckets(outer, inner.where("false"), learned.Buckets(cuts, [1] * 4), "key").count() == 0
 
 
-@pytest.mark.parametrize("name", ("run_unsorted_lsj",))
+@pytest.mark.parametrize("name", ("run_unsorted_lsj", "join_unsorted_lsj"))
 def test_plans_of_bucketed_semi_joins_do_not_grow_with_the_buckets(spark, name):
     from kvloom.plans import catalog
 
