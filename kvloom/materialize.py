@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Whether a query's shuffle files go when it ends; else they stay until the driver happens to collect its garbage.
+FILES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names, or that was set for checkpoints.
 
@@ -23,8 +28,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written by checkpoint() to the shared folder."""
+    """df, written by checkpoint() to the shared folder; the shuffle files of that go at once, as nothing reads them again."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    before = spark.conf.get(FILES_GO, None)
+    spark.conf.set(FILES_GO, "true")
+    try:
+        # a plan of its own takes the setting, and nothing else runs by its shuffles
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.unset(FILES_GO) if before is None else spark.conf.set(FILES_GO, before)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the cleaner remove what no table is made from any more: checkpoints, broadcasts, shuffle files."""
+    gc.collect()
+    spark._jvm.System.gc()

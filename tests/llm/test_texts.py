@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from kvloom.llm import html, jaccard, lines, mixing, packing, pii, quality, simhash, toxicity
 from kvloom.llm.graph import components
+from kvloom.materialize import FILES_GO, cut
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -767,3 +769,16 @@ def test_stages_on_odd_rows(spark, empty):
         n = got.count()
         assert name == "packing" or got.columns == docs.columns
         assert n == 0 if empty else n > 0 or name == "quality", name
+
+
+def test_shuffle_files_of_a_cut_go_with_it(spark):
+    """Stages of many cuts would else hold the files of all of them until the driver collects its garbage."""
+    files = lambda: sum("shuffle_" in str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split())
+    set_before, before = spark.conf.get(FILES_GO, None), files()
+    got = cut(spark.range(1000).withColumn("k", F.col("id") % 10).groupBy("k").agg(F.sum("id").alias("s")))
+    end = time.time() + 20
+    while files() > before and time.time() < end:
+        time.sleep(0.2)
+    assert files() <= before
+    assert {r["k"]: r["s"] for r in got.collect()} == {k: sum(range(k, 1000, 10)) for k in range(10)}
+    assert spark.conf.get(FILES_GO, None) == set_before
