@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvloom.materialize import cut, release
+from kvloom.materialize import cut, few, release
 from kvloom.shipping import ship
 
-__all__ = ["WORD", "cut", "given_names", "prepare", "release", "remainder", "slices", "table"]
+__all__ = ["WORD", "cut", "few", "given_names", "prepare", "release", "remainder", "slices", "table"]
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

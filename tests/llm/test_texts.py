@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from kvloom.llm import html, jaccard, lines, mixing, packing, pii, quality, simhash, toxicity
 from kvloom.llm.graph import components
-from kvloom.materialize import FILES_GO, cut
+from kvloom.materialize import FILES_GO, LEAST_PARTS, PART_ROWS, cut, few
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -782,3 +782,31 @@ def test_shuffle_files_of_a_cut_go_with_it(spark):
     assert files() <= before
     assert {r["k"]: r["s"] for r in got.collect()} == {k: sum(range(k, 1000, 10)) for k in range(10)}
     assert spark.conf.get(FILES_GO, None) == set_before
+
+
+def test_small_checkpoints_are_read_by_few_tasks_and_stay_whole(spark):
+    made = spark.range(5000, numPartitions=211).selectExpr("id", "id % 7 as k")
+    assert cut(made).rdd.getNumPartitions() == 211
+    got = cut(made, together=True)
+    assert got.rdd.getNumPartitions() == LEAST_PARTS and sorted(map(tuple, got.collect())) == [(i, i % 7) for i in range(5000)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        assert few(made, 5000).rdd.getNumPartitions() == LEAST_PARTS and few(made, 64 * PART_ROWS).rdd.getNumPartitions() == 211
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_pairs_of_a_large_group_move_no_more_sets_than_it_has_members(spark, monkeypatch):
+    """Pairs that are found in several shards, cut into blocks, are decided once; a block holds each set once."""
+    monkeypatch.setattr(jaccard, "BLOCK_PAIRS", 500)
+    rng = np.random.default_rng(2)
+    sets = {int(s): np.sort(rng.choice(60, rng.integers(40, 60), replace=False)) for s in rng.integers(-(2**63), 2**63 - 1, 60)}
+    both = [(max(x, y), min(x, y)) for i, x in enumerate(sets) for y in list(sets)[:i]]
+    want = [(x, y) for x, y in both if 5 * len(np.intersect1d(sets[x], sets[y])) >= 4 * len(np.union1d(sets[x], sets[y]))]
+    a, b = np.array(both).T
+    assert 0 < len(want) < len(both) and sorted(zip(*(x.tolist() for x in jaccard.alike(sets, a, b)))) == sorted(want)
+    m, k = jaccard.blocks(np.repeat([5, -9], len(a)), np.r_[a, a], np.r_[b, b], np.full(2 * len(a), 50), np.full(2 * len(a), 50))
+    assert set(m) == {len(both)} and len(np.unique(k)) == 2 * 2 * 2
+    ends = {(int(x), int(y)) for x, y in zip(np.r_[k, k], np.r_[a, a, b, b])}
+    assert len(ends) <= 2 * 2 * 2 * len(sets) < len(both)
