@@ -810,3 +810,25 @@ def test_pairs_of_a_large_group_move_no_more_sets_than_it_has_members(spark, mon
     assert set(m) == {len(both)} and len(np.unique(k)) == 2 * 2 * 2
     ends = {(int(x), int(y)) for x, y in zip(np.r_[k, k], np.r_[a, a, b, b])}
     assert len(ends) <= 2 * 2 * 2 * len(sets) < len(both)
+
+
+def test_unlike_pairs_do_not_leave_the_tree_of_a_crowded_value(spark, monkeypatch):
+    """Of a group with many pairs within the radius only the similar ones come, whether its sets fit into a task or not."""
+    rng, vals = random.Random(3), [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(40):
+        words = list(vals)
+        for i in rng.sample(range(20, 120), rng.choice((1, 5, 6))):
+            words[i] = f"x{rng.random()}"
+        texts.append(" ".join(words))
+    given = documents(spark, [(i, t, "a") for i, t in enumerate(texts)]).selectExpr("doc_id", "text", "xxhash64(text) as th")
+    marked = cut(jaccard._sets(given, np.empty(0, np.int64), marks=True))
+    nodes = marked.selectExpr("sig", "struct(doc_id, th) as least", "n", "vals", "fp")
+    rows = cut(nodes.selectExpr("sig", "n", "posexplode(vals) as (p, h)", "sig as c"))
+    sets = {r.sig: set(jaccard.shingles(texts[r.least.doc_id]).tolist()) for r in nodes.collect()}
+    want = sorted((a, b) for a in sets for b in sets if a > b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    found = [(r.a, r.b) for r in jaccard._tree_pairs(rows, nodes).collect()]
+    assert len(want) < 500 and sum(b is not None for _, b in found) <= jaccard.FEW * rows.count() and any(b is None for _, b in found)
+    assert sorted(map(tuple, jaccard._all_similar(rows, nodes, given).distinct().collect())) == want and want
+    monkeypatch.setattr(jaccard, "SHARD_VALUES", 0)
+    assert sorted(map(tuple, jaccard._all_similar(rows, nodes, given).distinct().collect())) == want
