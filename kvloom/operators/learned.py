@@ -10,8 +10,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,33 +90,12 @@ def _meet(outer: DataFrame, inner: DataFrame, buckets: Buckets, key: str, carrie
     copies = F.explode(F.sequence(F.lit(0), buckets.widths(F.col("__b")) - 1))
     right = right.select(*[F.col(key) if c == key else F.lit(None).cast(outer.schema[c].dataType).alias(c) for c in columns], (F.col(carried) if carried else F.lit(None).cast("int")).cast(held).alias("__held"), F.lit(0).alias("__src"), "__b", copies.alias("__copy"))
     right = right.select(*columns, "__held", "__src", (buckets.first(F.col("__b")) + F.col("__copy")).alias("__p"))
-    both = left.union(right).repartitionById(buckets.parts, F.col("__p").cast("int")).sortWithinPartitions(key, "__src")
-    k, n = columns.index(key), len(columns)
-
-    def once(batches):
-        last_key = last_held = None  # of the inner row before this batch
-        for b in batches:
-            if not b.num_rows:
-                continue
-            src, keys = b.column(n + 1).to_numpy(), b.column(k)
-            at = np.maximum.accumulate(np.where(src == 0, np.arange(len(src)), -1))
-            inner_at = pa.array(np.maximum(at, 0))
-            match = pc.fill_null(pc.equal(keys, keys.take(inner_at)), False).to_numpy(zero_copy_only=False) & (at >= 0)
-            held = b.column(n).take(inner_at)
-            before = at < 0
-            if before.any() and last_key is not None:
-                match |= before & pc.fill_null(pc.equal(keys, last_key), False).to_numpy(zero_copy_only=False)
-                held = pc.if_else(pa.array(before), last_held, held)
-            match = pa.array(match & (src == 1))
-            if at[-1] >= 0:
-                last_key, last_held = keys[int(at[-1])], b.column(n)[int(at[-1])]
-            out = [c.filter(match) for c in b.columns[:n]] + ([held.filter(match)] if carried else [])
-            yield pa.RecordBatch.from_arrays(out, [*columns, "__held"] if carried else columns)
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in outer.schema.fields)
-    if carried:
-        kinds += ", __held " + (held if isinstance(held, str) else held.simpleString())
-    return both.drop("__p").mapInArrow(once, kinds)
+    both = left.union(right).repartitionById(buckets.parts, F.col("__p").cast("int"))
+    # one partition holds one __p, so the window has no exchange of its own; an inner row is the first of its key
+    rows = Window.partitionBy("__p", key).orderBy("__src").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = [F.first(c).over(rows).alias(c) for c in ("__held", "__src")]
+    met = both.select(*columns, F.col("__src").alias("__own"), *first).where("__own = 1 and __src = 0")
+    return met.select(*columns, *["__held"] * bool(carried))
 
 
 def even_bucket(key: Column, buckets: int, least: int, most: int) -> Column:

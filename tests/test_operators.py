@@ -405,3 +405,11 @@ def test_bucket_is_the_number_of_cut_points_at_or_below_the_key(spark):
         keys = sorted({type(cuts[0])(int(c) + d) for c in cuts for d in (-1, 0, 1)})
         got = spark.createDataFrame([(k,) for k in [*keys, None]], f"key {kind}").select("key", learned.cdf_bucket(F.col("key"), cuts).alias("b")).collect()
         assert [r["b"] for r in got] == [sum(c <= r["key"] for c in cuts) if r["key"] is not None else 0 for r in got]
+
+
+@pytest.mark.parametrize("name", ("join_unsorted_lsj", "run_unsorted_lsj", "join_unsorted_lsj_sorted_output"))
+def test_bucketed_joins_meet_in_one_exchange_and_without_python_workers(spark, name):
+    from kvloom.plans import catalog
+
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Python" not in plan and plan.count("shufflepartitionidpassthrough") == 1 and "Window" in plan
